@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows of equal texts are a group. Groups are gathered, by their hash, into a fixed
-number of items; a group that alone holds more than one part in ``shards * 64`` of
-all bytes, tokens or rows (there are at most ``3 * shards * 64`` such) is cut into
-several. The driver sees these items only, whatever the size of the corpus. They
-are placed in order of falling size, each in the shard where the dot product of
-the item with the shard's residual capacity is highest, among those with room.
+number of cells; a group that alone holds more than one part in ``shards * 64`` of
+all bytes, tokens or rows (there are at most ``3 * shards * 64`` such) gets cells of
+its own. The driver sees these cells only, whatever the size of the corpus. A group
+with own cells is placed whole, but for one beyond an eighth of a shard, which is
+cut. What is placed goes in order of falling size, each into the shard where the
+dot product with the shard's residual capacity is highest, among those with room.
 """
 
 from __future__ import annotations
@@ -72,15 +73,19 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         slim.groupBy(*GROUP)
         .agg(*loads)
         .withColumn("_cuts", F.least(F.col("rows"), F.ceil(F.greatest(*shares) * cells)))
+        .withColumn("_pieces", F.least(F.col("_cuts"), F.ceil(F.greatest(*shares) * (shards * 8))))
         .filter("_cuts > 1")
-        .select(*GROUP, "_cuts")
+        .select(*GROUP, "_cuts", "_pieces")
         .collect()
     )
     assert len(heavy) <= 3 * cells
-    base, table = items, []
+    # whole: cell -> what is placed; an own cell's group is one piece, or several of at most an eighth of a shard
+    base, table, whole = items, [], {}
     for r in sorted(heavy, key=lambda r: tuple(r)):
-        table.append((r["_hash"], r["_crc"], r["_size"], base, int(r["_cuts"])))
-        base += int(r["_cuts"])
+        cuts, pieces = int(r["_cuts"]), int(r["_pieces"])
+        table.append((r["_hash"], r["_crc"], r["_size"], base, cuts))
+        whole |= {base + i: base + i * pieces // cuts * cuts // pieces for i in range(cuts)}
+        base += cuts
     heavy_schema = "_hash long, _crc long, _size long, _base int, _cuts int"
     cut = spark.createDataFrame(table, heavy_schema)
     item = F.when(F.col("_base").isNull(), F.pmod(F.xxhash64("_hash", "_crc"), F.lit(items)).cast("int"))
@@ -90,9 +95,15 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
 
     got = tagged.groupBy("_item").agg(*loads).collect()  # at most items + 9 * shards * 64 rows
     got.sort(key=lambda r: r["_item"])
-    where = pack_vectors(np.array([[r["bytes"], r["tokens"], r["rows"]] for r in got], float).reshape(-1, 3), shards)
+    loads_of: dict[int, list[int]] = {}
+    for r in got:
+        sums = loads_of.setdefault(whole.get(r["_item"], r["_item"]), [0, 0, 0])
+        for i, n in enumerate(("bytes", "tokens", "rows")):
+            sums[i] += r[n]
+    where = dict(zip(loads_of, pack_vectors(np.array(list(loads_of.values()), float).reshape(-1, 3), shards).tolist(), strict=True))
     first, plan = [0] * shards, []
-    for r, shard in zip(got, where.tolist(), strict=True):
+    for r in got:
+        shard = where[whole.get(r["_item"], r["_item"])]
         plan.append((r["_item"], shard, first[shard]))
         first[shard] += r["rows"]
     plan_schema = T.StructType([T.StructField("_item", T.IntegerType()), T.StructField("_shard", T.IntegerType()), T.StructField("_first", T.LongType())])
