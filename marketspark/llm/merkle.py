@@ -162,7 +162,9 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.coalesce(F.col("_id"), F.lit(-(2**63)))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select(order.alias("_o"))
-    cuts = sorted({int(c) for c in ids.approxQuantile("_o", [i / parts for i in range(1, parts)], 1 / (8 * parts))})
+    shares = [i / parts for i in range(1, parts)]
+    found = ids.agg(F.percentile_approx("_o", shares, 8 * parts)).first()[0] if shares else None
+    cuts = sorted(set(found or []))
 
     def bucket(o):
         """The number of cuts above, so that larger ids have smaller numbers."""
