@@ -1,5 +1,6 @@
 import math
 from dataclasses import replace
+from datetime import timedelta
 
 import pandas as pd
 import pytest
@@ -72,8 +73,8 @@ def test_json_urls_and_secrets(spark):
 
 
 def test_policies(spark):
-    at = pd.Timestamp("2026-01-05 12:00")
-    base = {"issued_at": at, "expires_at": at + pd.Timedelta(hours=4), "action": "allow_evaluation", "confidence": 0.8, "systemic_risk": 0.2, "leverage": 2, "strategies": ["adaptive_range"], "sources": [("https://example.com/a", at)]}
+    at = pd.Timestamp("2026-01-05 12:00").to_pydatetime()
+    base = {"issued_at": at, "expires_at": at + timedelta(hours=4), "action": "allow_evaluation", "confidence": 0.8, "systemic_risk": 0.2, "leverage": 2, "strategies": ["adaptive_range"], "sources": [("https://example.com/a", at)]}
     cases = [({}, None), ({"expires_at": at}, "policy_expired"), ({"systemic_risk": 0.9}, "systemic_risk_too_high"), ({"sources": [("https://evil.test/a", at)]}, "unapproved_source"), ({"sources": []}, "missing_sources"), ({"strategies": ["x"]}, "invalid_strategy_allowlist"), ({"confidence": 0.1}, "regime_confidence_too_low")]
     schema = "i int, issued_at timestamp, expires_at timestamp, action string, confidence double, systemic_risk double, leverage int, strategies array<string>, sources array<struct<url:string,published_at:timestamp>>"
     d = spark.createDataFrame([(i, *({**base, **c}).values()) for i, (c, _) in enumerate(cases)], schema)

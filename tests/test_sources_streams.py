@@ -124,5 +124,5 @@ def test_stateful_indicators_equal_batch(spark, tmp_path):
 
 
 def test_order_updates(spark):
-    d = spark.createDataFrame([("s", "1", pd.Timestamp("2026-01-01"), "new", None, None), ("s", "1", pd.Timestamp("2026-01-02"), "fill", 5.0, 2.0)], "symbol string, order_id string, timestamp timestamp, status string, price double, quantity double")
+    d = spark.createDataFrame([("s", "1", pd.Timestamp("2026-01-01").to_pydatetime(), "new", None, None), ("s", "1", pd.Timestamp("2026-01-02").to_pydatetime(), "fill", 5.0, 2.0)], "symbol string, order_id string, timestamp timestamp, status string, price double, quantity double")
     assert sorted(r.kind for r in S.order_events(d).collect()) == ["fill", "order", "order"]
