@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.config import RangeConfig
 from marketspark.functions import price as P
-from marketspark.functions.scan import ema, wilder
+from marketspark.functions.scan import smooth, wilder
 
 KEY, ORDER = ["symbol"], "timestamp"
 
@@ -34,12 +34,20 @@ def with_atr(df: DataFrame, period: int = 14, name: str = "atr") -> DataFrame:
     return wilder(with_true_range(df, "_tr"), KEY, ORDER, {name: "_tr"}, period).drop("_tr")
 
 
-def with_adx(df: DataFrame, period: int = 14, names: tuple[str, str, str] = ("adx", "plus_di", "minus_di")) -> DataFrame:
-    """Wilder's averages of the range and the two moves share their windows; the one of DX follows."""
+def with_adx(df: DataFrame, period: int = 14, names: tuple[str, str, str] = ("adx", "plus_di", "minus_di"), emas: dict | None = None, atr: tuple[str, int] | None = None) -> DataFrame:
+    """Wilder's averages of the range and the two moves share their windows; the one of DX follows.
+
+    ``emas`` (as for ``smooth``) and ``atr``, (name, period), ride along in the same windows.
+    """
     adx, plus_di, minus_di = names
     plus, minus = P.directional_moves(F.lag("high").over(by()), F.lag("low").over(by()))
-    out = with_true_range(df, "_tr").withColumns({"_plus": plus, "_minus": minus})
-    out = wilder(out, KEY, ORDER, {"_s_tr": "_tr", "_s_plus": "_plus", "_s_minus": "_minus"}, period)
+    out = df.withColumns({"_tr": P.true_range(F.lag("close").over(by())), "_plus": plus, "_minus": minus})
+    wanted = {"_s_tr": ("_tr", period), "_s_plus": ("_plus", period), "_s_minus": ("_minus", period)}
+    if atr is not None and atr[1] != period:
+        wanted[atr[0]] = ("_tr", atr[1])
+    out = smooth(out, KEY, ORDER, emas, wanted)
+    if atr is not None and atr[1] == period:
+        out = out.withColumn(atr[0], F.col("_s_tr"))
     out = out.withColumns({plus_di: P.ratio(100 * F.col("_s_plus"), "_s_tr"), minus_di: P.ratio(100 * F.col("_s_minus"), "_s_tr")})
     dx = P.ratio(100 * F.abs(F.col(plus_di) - F.col(minus_di)), F.col(plus_di) + F.col(minus_di))
     out = wilder(out.withColumn("_dx", dx), KEY, ORDER, {adx: "_dx"}, period)
@@ -79,29 +87,31 @@ def lagged_change(column: str, k: int) -> Column:
     return P.pct_change(column, F.lag(column, k).over(by()))
 
 
+def ema_slope(lookback: int = 5, mean: str = "_ema", atr: str = "atr") -> Column:
+    return P.ratio(F.col(mean) - F.lag(mean, lookback).over(by()), F.col(atr) * lookback)
+
+
 def with_ema_slope(df: DataFrame, period: int = 50, lookback: int = 5, atr: str = "atr", name: str = "ema_slope") -> DataFrame:
-    out = ema(df, KEY, ORDER, {"_ema": ("close", period, period)})
-    return out.withColumn(name, P.ratio(F.col("_ema") - F.lag("_ema", lookback).over(by()), F.col(atr) * lookback)).drop("_ema")
+    return smooth(df, KEY, ORDER, {"_ema": ("close", period, period)}).withColumn(name, ema_slope(lookback, "_ema", atr)).drop("_ema")
 
 
 def range_features(df: DataFrame, config: RangeConfig, session: str | None = "session") -> DataFrame:
     """atr, adx, center, z, atr_percentile, atr_change, ema_slope, cumulative_move.
 
-    The center is the session's VWAP, or the rolling one where ``session`` is None.
     All windows hash on the symbol: one shuffle for the whole table.
+    The center is the session's VWAP, or the rolling one where ``session`` is None.
     """
-    out = with_atr(df, config.atr_period)
-    out = with_adx(out, config.adx_period)
+    out = with_adx(df, config.adx_period, emas={"_ema": ("close", config.ema_period, config.ema_period)}, atr=("atr", config.atr_period))
     out = out.withColumn("center", session_vwap(session) if session else rolling_vwap(config.vwap_window))
-    out = out.withColumns(
+    return out.withColumns(
         {
             "z": P.in_atr(F.col("close") - F.col("center")),
             "atr_percentile": rolling_percentile("atr", config.percentile_window),
             "atr_change": P.finite(lagged_change("atr", 1)),
             "cumulative_move": P.in_atr(F.col("close") - F.lag("close", 3).over(by())),
+            "ema_slope": ema_slope(config.slope_lookback),
         }
-    )
-    return with_ema_slope(out, config.ema_period, config.slope_lookback)
+    ).drop("_ema")
 
 
 RANGE_FEATURES = ("atr", "adx", "center", "z", "atr_percentile", "ema_slope")

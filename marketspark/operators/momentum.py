@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.config import MomentumConfig
 from marketspark.functions import price as P
-from marketspark.functions.scan import ema
+from marketspark.functions.scan import smooth
 from marketspark.operators import indicators as I
 from marketspark.operators.bars import asof, keep_last, resample
 
@@ -17,9 +17,9 @@ CONTEXT = ("ema_fast_1h", "ema_slow_1h", "ema_slope_1h", "adx_1h")
 def hourly_context(bars: DataFrame, config: MomentumConfig, seconds: int = 3600) -> DataFrame:
     """(symbol, timestamp, ema_fast_1h, ema_slow_1h, ema_slope_1h, adx_1h) at each hour's end."""
     hours = resample(bars, seconds, "left", "right")
-    hours = ema(hours, I.KEY, I.ORDER, {"ema_fast_1h": ("close", config.fast_ema, 1), "ema_slow_1h": ("close", config.slow_ema, 1)})
+    means = {"ema_fast_1h": ("close", config.fast_ema, 1), "ema_slow_1h": ("close", config.slow_ema, 1)}
+    hours = I.with_adx(hours, config.adx_period, ("adx_1h", "_p", "_m"), means)
     hours = hours.withColumn("ema_slope_1h", I.lagged_change("ema_fast_1h", 3))
-    hours = I.with_adx(hours, config.adx_period, ("adx_1h", "_p", "_m"))
     return hours.select("symbol", "timestamp", *CONTEXT)
 
 
@@ -27,7 +27,7 @@ def momentum_features(bars: DataFrame, config: MomentumConfig, arrival: str | No
     """Features of every bar; of bars with one timestamp the last by ``arrival`` counts."""
     out = keep_last(bars, ["symbol", "timestamp"], [arrival]) if arrival else bars
     base = out
-    out = I.with_atr(out, config.atr_period)
+    out = smooth(I.with_true_range(out, "_tr"), I.KEY, I.ORDER, {"ema_fast_5m": ("close", config.fast_ema, 1)}, {"atr": ("_tr", config.atr_period)}).drop("_tr")
     high, low = I.breakout(config.breakout_bars)
     center = I.rolling_vwap(config.vwap_window)
     out = out.withColumns(
@@ -43,13 +43,12 @@ def momentum_features(bars: DataFrame, config: MomentumConfig, arrival: str | No
         }
     )
     out = out.withColumn("adaptive_z", P.in_atr(F.col("close") - F.col("adaptive_center")))
-    out = ema(out, I.KEY, I.ORDER, {"ema_fast_5m": ("close", config.fast_ema, 1)})
     return asof(out, hourly_context(base, config, context_seconds), I.KEY, I.ORDER, CONTEXT)
 
 
 def scanner(bars: DataFrame, vwap_window: int = 96, least_bars: int = 96) -> DataFrame:
     """Per symbol, at its last bar: adx, z, favourable, score (higher is better; NULL if there are too few bars)."""
-    out = I.with_adx(I.with_atr(bars))
+    out = I.with_adx(bars, atr=("atr", 14))
     out = out.withColumn("z", P.in_atr(F.col("close") - I.rolling_vwap(vwap_window)))
     out = out.withColumns(
         {
