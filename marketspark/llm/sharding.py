@@ -7,6 +7,7 @@ its own. The driver sees these cells only, whatever the size of the corpus. A gr
 with own cells is placed whole, but for one beyond an eighth of a shard, which is
 cut. What is placed goes in order of falling size, each into the shard where the
 dot product with the shard's residual capacity is highest, among those with room.
+Exchanges between the largest and the smallest shard then even their bytes out.
 """
 
 from __future__ import annotations
@@ -38,7 +39,47 @@ def pack_vectors(loads: np.ndarray, shards: int) -> np.ndarray:
             best = int(np.argmax(room[:, 0]))  # no room for its bytes: where most is left
         out[i] = best
         room[best] -= item
-    return out
+    return even_out(loads, out, shards)
+
+
+def even_out(loads: np.ndarray, where: np.ndarray, shards: int, rounds: int = 4000, close: float = 0.001) -> np.ndarray:
+    """Swaps or moves items between the largest and the smallest shard until their bytes are ``close`` (a share of the mean).
+
+    Of the exchanges that would even the two out, one that changes the other
+    quantities least is taken.
+    """
+    if len(loads) == 0 or shards < 2:
+        return where
+    where, size, rest = where.copy(), loads[:, 0], loads[:, 1:]
+    total = np.bincount(where, size, shards)
+    scale = np.maximum(rest.sum(axis=0) / shards, 1)
+    for _ in range(rounds):
+        high, low = int(total.argmax()), int(total.argmin())
+        gap = total[high] - total[low]
+        if gap <= close * total.mean():
+            break
+        a, b = np.flatnonzero(where == high), np.flatnonzero(where == low)
+        b = b[np.argsort(size[b], kind="stable")]
+        # for each item of the large shard: itself alone, or the partner that is smaller by about half the gap
+        at = np.searchsorted(size[b], size[a] - gap / 2)
+        pairs = [(a, np.full(len(a), -1))]
+        for shift in (-2, -1, 0, 1):
+            j = at + shift
+            ok = (j >= 0) & (j < len(b))
+            pairs.append((a[ok], b[j[ok]]))
+        x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        moved = size[x] - np.where(y >= 0, size[y], 0)
+        shift = np.abs(rest[x] - np.where(y[:, None] >= 0, rest[y], 0)) / scale
+        cost = np.where((moved > 0) & (moved < gap), np.abs(moved - gap / 2) / gap + shift.max(axis=1) if rest.shape[1] else 0, np.inf)
+        if not len(cost) or not np.isfinite(best := cost.min()) or best >= 1:
+            break
+        i = int(cost.argmin())
+        where[x[i]] = low
+        if y[i] >= 0:
+            where[y[i]] = high
+        total[high] -= moved[i]
+        total[low] += moved[i]
+    return where
 
 
 def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", items: int | None = None) -> DataFrame:
