@@ -14,10 +14,13 @@ passes: hashed counters rule out nearly all, the rest are counted.
 
 Each document gets ``bands * rows`` samples, so that two documents agree in one with
 a probability of their weighted Jaccard similarity. Documents that agree in a whole
-band are candidates. In a band's bucket all are compared with one of them; what
-isn't linked by that is compared with all that it isn't linked to, so no link within
-a bucket is lost and a group of copies needs one comparison each. A comparison reads
-both whole texts and works out the weighted Jaccard similarity exactly.
+band are candidates. In a band's bucket all are compared with one of them, so a group
+of copies needs one comparison each. Where that doesn't join a bucket into one class,
+those outside its largest class are compared with all they aren't in a class with,
+but for pairs whose similarity can't reach the threshold: what a text shares with
+any of the texts concerned bounds what it shares with one of them. So no link within
+a bucket is lost. A comparison reads both whole texts and works out the weighted
+Jaccard similarity exactly.
 """
 
 from __future__ import annotations
@@ -39,8 +42,10 @@ from marketspark.llm.components import components
 COMMON = 0.05
 #: Counters of the first pass: its false candidates cost time only.
 COUNTERS = 1 << 18
-TABLE = 1 << 14
+#: Slots of the sampler.
+TABLE = 1 << 15
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,16 +73,27 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, text.lower().split()), np.uint64)
 
 
-def shingles(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes, sorted; how often each stands in the text)."""
+def occurrences(text: str, width: int = 5) -> np.ndarray:
+    """The hash of each shingle, in the order of the text: a polynomial of its words' hashes, scrambled."""
     words = word_hashes(text)
     if not len(words):
-        return words, np.zeros(0, np.int64)
+        return words
     n = max(1, len(words) - width + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(min(width, len(words))):
-        h = mix(h ^ words[k : k + n])
-    return np.unique(h, return_counts=True)
+    h = words[:n].copy()
+    for k in range(1, min(width, len(words))):
+        h *= _FACTOR
+        h += words[k : k + n]
+    return mix(h)
+
+
+def shingles(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, sorted; how often each stands in the text)."""
+    h = occurrences(text, width)
+    if not len(h):
+        return h, np.zeros(0, np.int64)
+    h.sort()
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.diff(np.append(first, len(h)))
 
 
 class Idf:
@@ -118,56 +134,80 @@ class Icws:
     """``samples`` consistent weighted samples.
 
     Sample k picks the shingle s of weight S with the least
-    ``c / (y * exp(r))``, where ``t = floor(ln S / r + beta)`` and
+    ``a = c / (y * exp(r))``, where ``t = floor(ln S / r + beta)`` and
     ``y = exp(r * (t - beta))``; r and c are Gamma(2, 1) and beta uniform, drawn for
-    (k, slot of s), and the slot is one of TABLE per k by a hash of s. The sample is
-    (s, t). Nearly all weights are 2, for which the values of all slots are worked
-    out once.
+    (k, slot of s), and the slot is one of TABLE by a hash of s. The sample is (s, t).
+
+    Nearly all weights are 2. For these the slots' ranks by a are worked out once
+    for every sample, so a document's smallest rank per sample is a minimum over
+    rows of small integers; other weights go by the formula. Of shingles that share
+    slot and weight the smallest hash stands for all.
     """
 
+    MEMO = 20_000
+
     def __init__(self, samples: int, seed: int = 1):
-        draw = np.random.Generator(np.random.Philox(seed))
-        shape = (samples, TABLE)
-        self.samples = samples
-        self.r = -np.log(draw.random(shape) * draw.random(shape))
-        self.ln_c = np.log(-np.log(draw.random(shape) * draw.random(shape)))
-        self.beta = draw.random(shape)
-        self.plain, self.plain_t = (x.astype(t) for x, t in zip(self.at(math.log(2.0), slice(None), slice(None)), (np.float32, np.int32), strict=True))
-
-    def at(self, ln_weight, k, slot):
-        """(ln a, t) for the sample numbers and slots."""
-        r, beta = self.r[k, slot], self.beta[k, slot]
+        self.samples, self.seed = samples, seed
+        self.k = np.arange(samples, dtype=np.uint64)
+        order = np.empty((samples, TABLE), np.uint16)
+        self.sorted = np.empty((samples, TABLE), np.float32)
+        self.sorted_t = np.empty((samples, TABLE), np.int32)
+        slots = np.arange(TABLE, dtype=np.uint64)
+        self.ranks = np.empty((TABLE, samples), np.uint16)
+        for k in range(samples):
+            a, t = self.at(math.log(2.0), slots, np.uint64(k))
+            order[k] = np.argsort(a, kind="stable")
+            self.sorted[k], self.sorted_t[k] = a[order[k]], np.clip(t[order[k]], -(2**31), 2**31 - 1)
+            self.ranks[order[k], k] = np.arange(TABLE)
+        self.order = order
+        self.memo: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
+
+    def draw(self, cell: np.ndarray, what: int) -> np.ndarray:
+        """A uniform number in (0, 1] of each cell."""
+        salt = np.uint64(int(_MIX[what % 3]) * (what + self.seed) % 2**64)
+        return ((mix(cell ^ salt) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+
+    def at(self, ln_weight, slot: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ln a, t) for slots and sample numbers."""
+        cell = mix((slot << np.uint64(20)) | k)
+        r = -np.log(self.draw(cell, 1) * self.draw(cell, 2))
+        ln_c = np.log(-np.log(self.draw(cell, 3) * self.draw(cell, 4)))
+        beta = self.draw(cell, 5)
         t = np.floor(ln_weight / r + beta)
-        return self.ln_c[k, slot] - r * (t - beta) - r, t
+        return ln_c - r * (t - beta) - r, t
+
+    def odd_row(self, h: np.uint64, slot: np.uint64, weight: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ln a, t) in all samples of a shingle whose weight isn't 2."""
+        key = int(h), weight
+        if key not in self.memo:
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            a, t = self.at(math.log(weight), np.full(self.samples, slot), self.k)
+            self.memo[key] = a.astype(np.float32), np.clip(t, -(2**31), 2**31 - 1).astype(np.int32)
+        return self.memo[key]
 
     def bands(self, h: np.ndarray, w: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """One 64-bit key per band. ``h`` is sorted and holds something.
-
-        The slot in sample k is ``x + k * y`` for two hashes x, y of the shingle. Two
-        shingles in one slot with one weight tie; the smaller hash is taken.
-        """
-        odd = np.flatnonzero(w != 2.0)
-        ln_odd = np.log(w[odd])
-        m = mix(h)
-        x = (m & np.uint64(TABLE - 1)).astype(np.int32)
-        y = (m >> np.uint64(40) & np.uint64(TABLE - 1)).astype(np.int32) | 1
-        out = np.empty(self.samples, np.uint64)
-        step = max(1, 65536 // len(h))
-        for k0 in range(0, self.samples, step):
-            k = np.arange(k0, min(k0 + step, self.samples), dtype=np.int32)[:, None]
-            slots = (x + k * y) & (TABLE - 1)
-            at = slots + k * TABLE
-            a = self.plain.take(at)
-            if len(odd):
-                a[:, odd], t_odd = self.at(ln_odd, k, slots[:, odd])
-            best = a.argmin(axis=1)
-            i = np.arange(len(k))
-            t = self.plain_t.take(at[i, best]).astype(np.int64)
-            if len(odd):
-                j = np.minimum(np.searchsorted(odd, best), len(odd) - 1)
-                t = np.where(odd[j] == best, t_odd[i, j].astype(np.int64), t)
-            out[k0 : k0 + len(k)] = h[best] ^ mix(t.astype(np.uint64))
-        keys = out.reshape(bands, rows)
+        """One 64-bit key per band. ``h`` is sorted and holds something."""
+        slots = (h >> np.uint64(65 - TABLE.bit_length())).astype(np.intp)  # h is sorted, so slots are too
+        plain = w == 2.0
+        best = np.full(self.samples, np.inf, np.float32)
+        value = np.zeros(self.samples, np.uint64)
+        if plain.any():
+            own = slots if plain.all() else slots[plain]
+            hashes = h if own is slots else h[plain]
+            low = self.ranks[own[:65536]].min(axis=0)
+            for i in range(65536, len(own), 65536):
+                low = np.minimum(low, self.ranks[own[i : i + 65536]].min(axis=0))
+            k = np.arange(self.samples)
+            best = self.sorted[k, low]
+            value = hashes[np.searchsorted(own, self.order[k, low])] ^ mix(self.sorted_t[k, low].astype(np.uint64))
+        for i in np.flatnonzero(~plain).tolist():
+            a, t = self.odd_row(h[i], np.uint64(slots[i]), float(w[i]))
+            less = a < best
+            if less.any():
+                best = np.where(less, a, best)
+                value[less] = h[i] ^ mix(t[less].astype(np.uint64))
+        keys = value.reshape(bands, rows)
         key = np.arange(bands, dtype=np.uint64)
         for j in range(rows):
             key = mix(key ^ keys[:, j])
@@ -186,9 +226,10 @@ def counter_of(h: np.ndarray) -> np.ndarray:
 def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, idf) of the shingles that more than COMMON of the documents hold.
 
-    First pass: each task counts its documents' shingles into COUNTERS hashed
-    counters, which are added up slice by slice. Second pass: shingles whose
-    counter is above the limit are counted exactly.
+    First pass: each task counts the shingles of its texts, repeats and all, into
+    COUNTERS hashed counters, which are added up slice by slice. A shingle whose
+    counter is below the limit can't be common. Second pass: documents are counted
+    for the others.
     """
     least = COMMON * n_docs
     slices = 16
@@ -200,7 +241,7 @@ def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
         size = 0
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                held.append(counter_of(shingles(text)[0]))
+                held.append(counter_of(occurrences(text)))
                 size += len(held[-1])
                 if size > 500_000:
                     table += np.bincount(np.concatenate(held), minlength=COUNTERS)
@@ -236,8 +277,8 @@ def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                h = shingles(text)[0]
-                h = h[counters[counter_of(h)]]
+                h = occurrences(text)
+                h = np.unique(h[counters[counter_of(h)]])
                 if len(h):
                     held.append(h)
                     size += len(h)
@@ -269,6 +310,41 @@ def signatures(docs: DataFrame, idf_table, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, _words string, keys array<long>")
 
 
+def shared_weight(held: DataFrame, idf_table) -> DataFrame:
+    """(_id, total, shared): a text's weight, and the part of it in shingles that another of these texts has too.
+
+    No text can have more in common with another than the smaller of their shared
+    weights, which bounds their similarity without a comparison.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = Idf(*idf_table.value)
+        for batch in batches:
+            ids, hashes, values, size = [], [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, w = weights(text, idf)
+                ids.append(np.full(len(h), i))
+                hashes.append(h)
+                values.append(w)
+                size += len(h)
+                if size > 200_000:
+                    yield _flat(ids, hashes, values)
+                    ids, hashes, values, size = [], [], [], 0
+            if size:
+                yield _flat(ids, hashes, values)
+
+    rows = held.mapInArrow(run, "_id long, h long, w double")
+    # a shingle with one holder: its weight is that text's alone
+    alone = rows.groupBy("h").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last"), F.min("w").alias("w")).filter("_id = _last")
+    alone = alone.groupBy("_id").agg(F.sum("w").alias("alone"))
+    total = rows.groupBy("_id").agg(F.sum("w").alias("total"))
+    return total.join(alone, "_id", "left").select("_id", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+
+
+def _flat(ids: list[np.ndarray], hashes: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(values))], names=["_id", "h", "w"])
+
+
 def similarity_column(a: Column, b: Column, idf_table) -> Column:
     @F.arrow_udf("double")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -289,7 +365,8 @@ def near_duplicates(
 
     A class is a connected component of links: pairs of texts whose weighted Jaccard
     similarity is at least ``threshold``, or whose word sequences are equal. ``links``
-    counts the links of a text to other word sequences. Texts without words (null
+    counts those links of a text that were verified; they span its class and need
+    not be all. Texts without words (null
     and empty ones too) are one class. Rows that repeat an identifier share its class
     (the smallest any of them has), and where their texts differ the first of these
     in order is the one that is compared; a null identifier is a class of its own and is
@@ -309,30 +386,40 @@ def near_duplicates(
 
     texts = docs.filter("_id is not null")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), a < b, those that are linked; texts are joined to pairs only."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("_r")).distinct()
-        held = texts.join(needed, F.col("_id") == F.col("_r"), "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"))
-        held = materialise(held, "texts")
+    def texts_of(source: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+        """(_id, _text) of these ids only. A merge join at every size: ids grow with the corpus."""
+        needed = ids.select(F.col(ids.columns[0]).alias("_r")).distinct().hint("merge")
+        return materialise(source.join(needed, F.col("_id") == F.col("_r"), "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")), name)
+
+    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """Of pairs (a, b), a < b, those that are linked."""
         # the large side of the second join, whose key may be hot, carries the texts, so its size shows and it is split
-        both = pairs.join(held.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").join(held.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a")
+        second = pairs.join(held.select(F.col("_id").alias("b"), F.col("_text").alias("tb")).hint("merge"), "b")
+        both = second.join(held.select(F.col("_id").alias("a"), F.col("_text").alias("ta")).hint("merge"), "a")
         return both.select("a", "b", similarity_column(F.col("ta"), F.col("tb"), table).alias("s")).filter(F.col("s") >= threshold).select("a", "b")
 
     pairs = materialise(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = materialise(verified(pairs), "verified")
+    held = texts_of(texts, pairs.select(F.explode(F.array("a", "b"))), "texts")  # the one shuffle of all texts
+    links = materialise(verified(pairs, held), "verified")
     roots = components(links)
-    # buckets whose members aren't one component yet: those outside its largest meet all the others
+    # buckets whose members aren't one component yet: those outside its largest meet all the others that they may be linked to
     told = members.join(roots, members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     parts = told.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", "top")
     open_ = materialise(told.join(largest, ["key"]), "open")
-    minor = open_.filter("root <> top").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"))
-    more = minor.join(open_.select("key", F.col("rep").alias("y"), F.col("root").alias("y_root")), ["key"]).filter("x_root <> y_root")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "more-pairs")
-    if not more.isEmpty():
-        links = materialise(links.unionByName(verified(more)), "all-links")
-        roots = components(links)
+    if not open_.isEmpty():
+        held = texts_of(held, open_.select("rep"), "open-texts")
+        share = materialise(shared_weight(held, table), "shared").filter(F.col("shared") >= threshold * F.col("total") * (1 - 1e-9))
+        able = open_.join(share, F.col("rep") == F.col("_id")).select("key", "rep", "root", "top", "shared", "total")
+        minor = able.filter("root <> top").select("key", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "shared", "total")])
+        other = able.select("key", *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "shared", "total")])
+        most = F.least("x_shared", "y_shared")
+        may = (minor["key"] == other["key"]) & (F.col("x_root") != F.col("y_root")) & (most >= threshold * (1 - 1e-9) * (F.col("x_total") + F.col("y_total") - most))
+        more = minor.join(other, may).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if not more.isEmpty():
+            links = materialise(links.unionByName(verified(more, held)), "all-links")
+            roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     classes = copies.select("_words", "rep").join(roots, F.col("rep") == F.col("node"), "left").drop("node")
     classes = classes.join(degree, F.col("rep") == F.col("node"), "left").select("_words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -344,5 +431,5 @@ def near_duplicates(
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay, one document of each class, with all their columns."""
     found = near_duplicates(df, id_col, text_col, threshold)
-    gone = found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    gone = found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct().hint("merge")
     return df.join(gone, column_of(df, id_col).cast("long") == F.col("_gone"), "left_anti")
