@@ -12,9 +12,11 @@ no ids), and a task that reads more than ``max_pieces`` of them packs those firs
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketspark.llm.bpe import SPACE, char_class
+from marketspark.llm.bpe import SPACE, byte_alphabet, char_class
 from marketspark.llm.common import id_and_text
 
 
@@ -87,10 +89,28 @@ def best_fit_decreasing(lengths: np.ndarray, seq_len: int) -> tuple[np.ndarray,
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The file's tokens as bytes, by id, if ids follow the order of the merges; else None.
+
+    Then the merge of lowest id is the merge of highest priority, and any byte-pair
+    encoder by rank gives the ids that the tokenizers library gives.
+    """
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocab, special = said["model"]["vocab"], {t["content"] for t in said["added_tokens"]}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in said["model"]["merges"]]
+    if said["normalizer"] is not None or any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    back = {c: b for b, c in byte_alphabet().items()}
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+    whole = len(ranks) == 256 + len(made) and all(bytes([b]) in ranks for b in range(256)) and sorted(ranks.values()) == list(range(len(ranks)))
+    return ranks if whole and max(ranks[bytes([b])] for b in range(256)) < min(made, default=256) else None
+
+
 class ByteBpe:
-    """ids by the tokenizers library, each distinct word once while the table lasts."""
+    """ids as the tokenizers library gives them, each distinct word worked out once while the table lasts."""
 
-    MEMO = 400_000
+    MEMO = 700_000
     LONG = 80
 
     def __init__(self, path: str):
@@ -104,6 +124,18 @@ class ByteBpe:
         self.patterns = [self.pattern(n) for n in (0x80, 0x250)]
         self.beyond = re.compile("[^\\u0000-\\u024f]")
         self.memo: dict[str, bytes] = {}
+        ranks = byte_ranks(path)
+        self.encode = None
+        if ranks is not None:
+            import tiktoken
+
+            self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def new_words(self, words: list[str]) -> dict[str, bytes]:
+        if self.encode is not None:
+            return {w: array("I", self.encode(w)).tobytes() for w in words}
+        found = self.library.encode_batch(words, add_special_tokens=False)
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, found, strict=True)}
 
     @staticmethod
     def pattern(below: int) -> re.Pattern:
@@ -120,7 +152,7 @@ class ByteBpe:
             return np.frombuffer(b"".join([memo[w] for w in words]), np.uint32)
         except KeyError:
             new = [w for w in set(words) if w not in memo]
-        got = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
+        got = self.new_words(new)
         out = b"".join([got.get(w) or memo[w] for w in words])
         if len(memo) > self.MEMO:
             memo.clear()
