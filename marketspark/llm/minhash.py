@@ -44,6 +44,7 @@ COMMON = 0.05
 COUNTERS = 1 << 18
 #: Slots of the sampler.
 TABLE = 1 << 15
+_SLOT = np.uint64(65 - TABLE.bit_length())
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,10 +60,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     MOST = 500_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > self.MOST:
             self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        out = self[word] = xxhash.xxh3_64_digest(word.encode("utf-8", "replace"))
         return out
 
 
@@ -70,12 +71,15 @@ _WORDS = _Words()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, text.lower().split()), np.uint64)
+    return np.frombuffer(b"".join(map(_WORDS.__getitem__, text.lower().split())), np.uint64)
 
 
 def occurrences(text: str, width: int = 5) -> np.ndarray:
     """The hash of each shingle, in the order of the text: a polynomial of its words' hashes, scrambled."""
-    words = word_hashes(text)
+    return shingled(word_hashes(text), width)
+
+
+def shingled(words: np.ndarray, width: int = 5) -> np.ndarray:
     if not len(words):
         return words
     n = max(1, len(words) - width + 1)
@@ -88,10 +92,13 @@ def occurrences(text: str, width: int = 5) -> np.ndarray:
 
 def shingles(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, sorted; how often each stands in the text)."""
-    h = occurrences(text, width)
+    return counted(occurrences(text, width))
+
+
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
         return h, np.zeros(0, np.int64)
-    h.sort()
+    h = np.sort(h)
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     return h[first], np.diff(np.append(first, len(h)))
 
@@ -176,41 +183,55 @@ class Icws:
         t = np.floor(ln_weight / r + beta)
         return ln_c - r * (t - beta) - r, t
 
-    def odd_row(self, h: np.uint64, slot: np.uint64, weight: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, t) in all samples of a shingle whose weight isn't 2."""
-        key = int(h), weight
-        if key not in self.memo:
-            if len(self.memo) >= self.MEMO:
-                self.memo.clear()
-            a, t = self.at(math.log(weight), np.full(self.samples, slot), self.k)
-            self.memo[key] = a.astype(np.float32), np.clip(t, -(2**31), 2**31 - 1).astype(np.int32)
-        return self.memo[key]
-
-    def bands(self, h: np.ndarray, w: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """One 64-bit key per band. ``h`` is sorted and holds something."""
-        slots = (h >> np.uint64(65 - TABLE.bit_length())).astype(np.intp)  # h is sorted, so slots are too
-        plain = w == 2.0
-        best = np.full(self.samples, np.inf, np.float32)
-        value = np.zeros(self.samples, np.uint64)
-        if plain.any():
-            own = slots if plain.all() else slots[plain]
-            hashes = h if own is slots else h[plain]
-            low = self.ranks[own[:65536]].min(axis=0)
-            for i in range(65536, len(own), 65536):
-                low = np.minimum(low, self.ranks[own[i : i + 65536]].min(axis=0))
-            k = np.arange(self.samples)
-            best = self.sorted[k, low]
-            value = hashes[np.searchsorted(own, self.order[k, low])] ^ mix(self.sorted_t[k, low].astype(np.uint64))
-        for i in np.flatnonzero(~plain).tolist():
-            a, t = self.odd_row(h[i], np.uint64(slots[i]), float(w[i]))
-            less = a < best
-            if less.any():
-                best = np.where(less, a, best)
-                value[less] = h[i] ^ mix(t[less].astype(np.uint64))
-        keys = value.reshape(bands, rows)
-        key = np.arange(bands, dtype=np.uint64)
+    def odd_rows(self, wanted: list[tuple[int, float]]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
+        """(ln a, t) in all samples of shingles whose weight isn't 2, by (hash, weight)."""
+        new = [key for key in dict.fromkeys(wanted) if key not in self.memo]
+        if len(self.memo) + len(new) > self.MEMO:
+            self.memo.clear()
+            new = list(dict.fromkeys(wanted))
+        made = {}
+        for i in range(0, len(new), 256):
+            part = new[i : i + 256]
+            slots = np.array([h for h, _ in part], np.uint64) >> _SLOT
+            a, t = self.at(np.log([w for _, w in part])[:, None], slots[:, None], self.k)
+            made |= dict(zip(part, zip(a.astype(np.float32), np.clip(t, -(2**31), 2**31 - 1).astype(np.int32)), strict=True))
+        out = {key: self.memo.get(key) or made[key] for key in dict.fromkeys(wanted)} if wanted else {}
+        if len(self.memo) + len(made) <= self.MEMO:
+            self.memo |= made
+        return out
+
+    def bands(self, texts: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> np.ndarray:
+        """A 64-bit key per text and band, of (sorted hashes, weights) that hold something."""
+        odd = [np.flatnonzero(w != 2.0) for _, w in texts]
+        given = self.odd_rows([(int(h[i]), float(w[i])) for (h, w), o in zip(texts, odd, strict=True) for i in o])
+        low = np.zeros((len(texts), self.samples), np.uint16)
+        plain = []
+        for d, ((h, w), o) in enumerate(zip(texts, odd, strict=True)):
+            own = h[w == 2.0] if len(o) else h
+            slots = (own >> _SLOT).astype(np.intp)  # own is sorted, so they are too
+            plain.append((own, slots))
+            if len(own):
+                low[d] = self.ranks[slots[:65536]].min(axis=0)
+                for i in range(65536, len(own), 65536):
+                    low[d] = np.minimum(low[d], self.ranks[slots[i : i + 65536]].min(axis=0))
+        k = np.arange(self.samples)
+        best, slot, t = self.sorted[k, low], self.order[k, low], self.sorted_t[k, low]
+        value = mix(t.astype(np.uint64))
+        for d, ((h, w), o, (own, slots)) in enumerate(zip(texts, odd, plain, strict=True)):
+            if len(own):
+                value[d] ^= own[np.searchsorted(slots, slot[d])]
+            else:
+                best[d] = np.inf
+            for i in o:
+                a, t_odd = given[int(h[i]), float(w[i])]
+                less = a < best[d]
+                if less.any():
+                    best[d][less] = a[less]
+                    value[d][less] = h[i] ^ mix(t_odd[less].astype(np.uint64))
+        keys = value.reshape(len(texts), bands, rows)
+        key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(texts), bands))
         for j in range(rows):
-            key = mix(key ^ keys[:, j])
+            key = mix(key ^ keys[:, :, j])
         return key
 
 
@@ -300,24 +321,32 @@ def signatures(docs: DataFrame, idf_table, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, sampler = Idf(*idf_table.value), icws(bands * rows)
         for batch in batches:
+            texts = batch.column(1).to_pylist()
             words, keys = [], []
-            for text in batch.column(1).to_pylist():
-                words.append(xxhash.xxh3_128_hexdigest(" ".join(text.lower().split())))
-                h, w = weights(text, idf)
-                keys.append(sampler.bands(h, w, bands, rows).view(np.int64) if len(h) else np.zeros(0, np.int64))
+            for i in range(0, len(texts), 128):
+                hashes = [word_hashes(t) for t in texts[i : i + 128]]
+                words += [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in hashes]
+                found = [counted(shingled(x)) for x in hashes]
+                some = [(h, n * idf.of(h)) for h, n in found if len(h)]
+                made = iter(sampler.bands(some, bands, rows).view(np.int64) if some else ())
+                keys += [next(made) if len(x) else np.zeros(0, np.int64) for x in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_words", "keys"])
 
     return docs.mapInArrow(run, "_id long, _words string, keys array<long>")
 
 
+#: Parts into which a text's shared shingles are dealt by hash, for a bound of what two texts can have in common.
+PARTS = 64
+
+
 def shared_weight(held: DataFrame, idf_table) -> DataFrame:
-    """(_id, total, shared): a text's weight, and the part of it in shingles that another of these texts has too.
+    """(_id, total, shared, parts): a text's weight, the part of it in shingles that another of these texts has too, and that by PARTS hashed parts.
 
-    No text can have more in common with another than the smaller of their shared
-    weights, which bounds their similarity without a comparison.
+    No two texts can have more in common than the sum over the parts of the smaller
+    shared weight, which bounds their similarity without a comparison.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = Idf(*idf_table.value)
         for batch in batches:
             ids, hashes, values, size = [], [], [], 0
@@ -333,12 +362,25 @@ def shared_weight(held: DataFrame, idf_table) -> DataFrame:
             if size:
                 yield _flat(ids, hashes, values)
 
-    rows = held.mapInArrow(run, "_id long, h long, w double")
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = Idf(*idf_table.value)
+        for batch in batches:
+            parts = []
+            for text in batch.column(1).to_pylist():
+                h, w = weights(text, idf)
+                parts.append(np.bincount((h % np.uint64(PARTS)).astype(np.intp), w, PARTS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.float64()))], names=["_id", "_all"])
+
+    rows = held.mapInArrow(flat, "_id long, h long, w double")
     # a shingle with one holder: its weight is that text's alone
     alone = rows.groupBy("h").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last"), F.min("w").alias("w")).filter("_id = _last")
-    alone = alone.groupBy("_id").agg(F.sum("w").alias("alone"))
-    total = rows.groupBy("_id").agg(F.sum("w").alias("total"))
-    return total.join(alone, "_id", "left").select("_id", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+    alone = alone.groupBy("_id", F.col("h").bitwiseAND(PARTS - 1).cast("int").alias("_p")).agg(F.sum("w").alias("w"))
+    alone = alone.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_p", "w"))).alias("_alone"))  # PARTS entries at most
+    none = F.create_map().cast("map<int,double>")
+    out = held.mapInArrow(dealt, "_id long, _all array<double>").join(alone.hint("merge"), "_id", "left")
+    left = F.transform("_all", lambda v, i: F.greatest(F.lit(0.0), v - F.coalesce(F.try_element_at(F.coalesce("_alone", none), i), F.lit(0.0))))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+    return out.select("_id", add("_all").alias("total"), left.alias("parts")).withColumn("shared", add("parts"))
 
 
 def _flat(ids: list[np.ndarray], hashes: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
@@ -410,11 +452,19 @@ def near_duplicates(
     if not open_.isEmpty():
         held = texts_of(held, open_.select("rep"), "open-texts")
         share = materialise(shared_weight(held, table), "shared").filter(F.col("shared") >= threshold * F.col("total") * (1 - 1e-9))
-        able = open_.join(share, F.col("rep") == F.col("_id")).select("key", "rep", "root", "top", "shared", "total")
-        minor = able.filter("root <> top").select("key", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "shared", "total")])
-        other = able.select("key", *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "shared", "total")])
-        most = F.least("x_shared", "y_shared")
-        may = (minor["key"] == other["key"]) & (F.col("x_root") != F.col("y_root")) & (most >= threshold * (1 - 1e-9) * (F.col("x_total") + F.col("y_total") - most))
+        keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # one per band at most
+        able = open_.join(share.hint("merge"), F.col("rep") == F.col("_id")).join(keys.hint("merge"), "rep")
+        fields = ("rep", "root", "shared", "total", "parts", "keys")
+        minor = able.filter("root <> top").select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
+        other = able.select("key", *[F.col(c).alias(f"y_{c}") for c in fields])
+
+        def enough(common):
+            return common >= threshold * (1 - 1e-9) * (F.col("x_total") + F.col("y_total") - common)
+
+        dealt = F.aggregate(F.zip_with("x_parts", "y_parts", lambda x, y: F.least(x, y)), F.lit(0.0), lambda total, v: total + v)
+        may = (minor["key"] == other["key"]) & (F.col("x_root") != F.col("y_root")) & enough(F.least("x_shared", "y_shared"))
+        # a pair counts in the first bucket that it shares
+        may = may & (minor["key"] == F.array_min(F.array_intersect("x_keys", "y_keys"))) & enough(dealt)
         more = minor.join(other, may).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
         more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():

@@ -151,10 +151,13 @@ def test_samples_agree_as_often_as_weights_overlap():
     h = np.sort(rng.integers(1, 2**63, 400).astype(np.uint64))
     wa, wb = rng.choice([1.3, 2.0, 4.0], 400), rng.choice([1.3, 2.0, 4.0], 400)
     sampler = minhash.Icws(2000, seed=9)
-    a, b = (sampler.bands(h, w, 2000, 1) for w in (wa, wb))
+    a, b = sampler.bands([(h, wa), (h, wb)], 2000, 1)
     want = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
     assert abs((a == b).mean() - want) < 0.04
-    assert (sampler.bands(h, wa, 2000, 1) == a).all()
+    assert (sampler.bands([(h, wa)], 2000, 1)[0] == a).all()
+    plain = np.full(400, 2.0)
+    c, e = sampler.bands([(h, plain), (h[:300], plain[:300])], 2000, 1)
+    assert abs((c == e).mean() - 0.75) < 0.04
 
 
 def test_components_of_chains_and_stars(spark):
