@@ -1,12 +1,15 @@
 """Chat formatting by quotation linking.
 
 A message's lines are parsed into quote levels (``>``, ``> >``, ``>>``). What stands
-at level 0 is its own text; each run of quoted lines of one level is a passage. A
-passage, normalised and hashed, is looked up among the passages of earlier messages'
-own texts (the whole text, each paragraph, each line). The message replies to the
-latest earlier message that one of its shallowest linked passages comes from.
-Conversations are then put in reply order, without quotes and without the lines
-that introduce them.
+at level 0 is its own text; each run of quoted lines of one level is a passage.
+Passages and own texts are both cut into units: the whole, its paragraphs, its
+lines, its sentences, and runs of 1, 2, 3, 4, 6, 8, 12 ... consecutive units of a
+kind. A unit, normalised and hashed, is looked up among the units of earlier
+messages' own texts. A passage comes from the message that its longest unit found
+stands in, the latest of several; the message replies to the latest message that
+one of its shallowest linked passages comes from. An excerpt that holds no whole
+line and no whole sentence of the original is not found. Conversations are then put
+in reply order, without quotes and without the lines that introduce them.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,6 +28,9 @@ from marketspark.llm.common import column_of, materialise
 MARK = re.compile(r"^\s{0,3}((?:>\s?)+)")
 #: Ends of a line that introduces a quote, in the corpus's four languages.
 INTRODUCES = re.compile(r"(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$", re.I)
+PARAGRAPH = re.compile(r"\n\s*\n")
+#: The end of a sentence with its closing marks, and the space behind it.
+SENTENCE = re.compile(r"([.!?…][\"'”’»)\]]*)\s+")
 
 
 def quote_level(line: str) -> tuple[int, str]:
@@ -44,9 +51,9 @@ def passage_hash(passage: str) -> str | None:
     return hashlib.blake2b(plain.encode(), digest_size=16).hexdigest()
 
 
-def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """(own text, [(level, passage)]). A deeper run parts the passage around it in two."""
-    own, passages, level, run = [], [], 0, []
+def parse_parts(text: str) -> tuple[str, list[tuple[int, str]], list[int]]:
+    """(own text, [(level, passage)], numbers of the own lines before which a quote stood)."""
+    own, passages, cuts, level, run = [], [], [], 0, []
     for line in text.split("\n"):
         at, plain = quote_level(line)
         if at != level and run:
@@ -57,38 +64,73 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
                 own.pop()
             if own and INTRODUCES.search(own[-1]):
                 own.pop()
+            cuts = [c for c in cuts if c < len(own)] + [len(own)]
         level = at
         (run if at else own).append(plain)
     if level and run:
         passages.append((level, "\n".join(run)))
     if not passages:
-        return text, []
-    return "\n".join(own).strip("\n"), passages
+        return text, [], []
+    whole = "\n".join(own)
+    mine = whole.strip("\n")
+    ahead, lines = len(whole) - len(whole.lstrip("\n")), mine.count("\n") + 1
+    return mine, passages, [c - ahead for c in cuts if 0 < c - ahead < lines]
+
+
+def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
+    """(own text, [(level, passage)]). A deeper run parts the passage around it in two."""
+    return parse_parts(text)[:2]
+
+
+def runs(parts: Iterable[str]) -> dict[str, int]:
+    """Hash and length of each part with a letter or digit and of runs of 2, 3, 4, 6, 8, 12 ... of them."""
+
+    def paired(a: list[tuple[str, int]], b: list[tuple[str, int]], gap: int) -> list[tuple[str, int]]:
+        return [(hashlib.blake2b(f"{x} {y}".encode(), digest_size=16).hexdigest(), n + 1 + m) for (x, n), (y, m) in zip(a, b[gap:])]
+
+    one = [(h, len(normalise(p))) for p in parts if (h := passage_hash(p))]
+    out = {}
+    for size, now in ((1, one), (3, paired(one, paired(one, one, 1), 1))):
+        while now:
+            out.update(now)
+            now, size = paired(now, now, size), 2 * size
+    return out
+
+
+def units(text: str, cuts: Iterable[int] = ()) -> dict[str, int]:
+    """Hash and length of whatever of a text can be told again; no paragraph or sentence goes over a cut."""
+    lines = text.split("\n")
+    segments = ["\n".join(lines[a:b]) for a, b in pairwise([0, *cuts, len(lines)])]
+    paragraphs = [p for s in segments for p in PARAGRAPH.split(s)]
+    sentences = [s for p in paragraphs for s in SENTENCE.sub(r"\1\n", " ".join(p.split())).split("\n")]
+    out = {}
+    for parts in ([text], segments, PARAGRAPH.split(text), paragraphs, sentences, lines):
+        out |= runs(parts)
+    return out
 
 
-def sources(own: str) -> set[str]:
+def sources(own: str, cuts: Iterable[int] = ()) -> set[str]:
     """Hashes of the passages that others may quote of a message."""
-    parts = [own, *re.split(r"\n\s*\n", own), *own.split("\n")]
-    return {h for p in parts if (h := passage_hash(p))}
+    return set(units(own, cuts))
 
 
-PARSED = "conv string, turn long, role string, own string, quoted array<struct<level:int,hash:string>>, sources array<string>"
+PARSED = "conv string, turn long, role string, own string, cuts array<int>, quoted array<struct<level:int,hash:string,text:string>>"
 
 
 def parse_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    quoted_type = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string())]))
+    quoted_type = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, quoted, offered = [], [], []
+            own, cuts, quoted = [], [], []
             for text in batch.column(3).to_pylist():
-                mine, passages = parse(text)
+                mine, passages, at = parse_parts(text)
                 own.append(mine)
-                quoted.append([{"level": n, "hash": h} for n, p in passages if (h := passage_hash(p))])
-                offered.append(sorted(sources(mine)))
+                cuts.append(at)
+                quoted.append([{"level": n, "hash": h, "text": p} for n, p in passages if (h := passage_hash(p))])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(own, pa.string()), pa.array(quoted, quoted_type), pa.array(offered, pa.list_(pa.string()))],
-                names=["conv", "turn", "role", "own", "quoted", "sources"],
+                [*(batch.column(i) for i in range(3)), pa.array(own, pa.string()), pa.array(cuts, pa.list_(pa.int32())), pa.array(quoted, quoted_type)],
+                names=["conv", "turn", "role", "own", "cuts", "quoted"],
             )
 
     rows = df.select(
@@ -100,17 +142,65 @@ def parse_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, t
     return rows.mapInArrow(run, PARSED)
 
 
+UNITS = "conv string, turn long, level int, passage string, hash string, weight long"
+_UNITS = pa.schema([("conv", pa.string()), ("turn", pa.int64()), ("level", pa.int32()), ("passage", pa.string()), ("hash", pa.string()), ("weight", pa.int64())])
+
+
+def unit_rows(texts: DataFrame) -> DataFrame:
+    """One row per unit of each row (conv, turn, level, passage, text, cuts)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for *key, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(*key, h, n) for h, n in units(text, cuts or ()).items()]
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*out, strict=True), _UNITS, strict=True)], schema=_UNITS)
+
+    return texts.mapInArrow(run, UNITS)
+
+
+def latest_before(asks: DataFrame, offers: DataFrame) -> DataFrame:
+    """``asks`` with ``from``, the latest earlier turn of the conversation that offers the hash, where there is one.
+
+    A running last value over a range partitioning: a unit that a whole
+    conversation quotes and tells is split over tasks, and no ask meets all
+    offers. Only keys that reach over tasks get what stands before, at most one
+    row per task.
+    """
+    key, order = ["conv", "hash"], ["turn", "_offer"]
+    both = asks.withColumns({"_offer": F.lit(0), "from": F.lit(None).cast("long")}).unionByName(offers.select(*key, "turn", F.lit(1).alias("_offer"), F.col("turn").alias("from")), allowMissingColumns=True)
+    n = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialise(both.repartitionByRange(n, *key, *order).withColumn("_task", F.spark_partition_id()), "quote-units")
+    lasts = laid.groupBy(*key, "_task").agg(F.max("from").alias("_last"))
+    split = lasts.groupBy(*key).agg(F.count("*").alias("_tasks")).filter("_tasks > 1").select(*key)
+    ahead = Window.partitionBy(*key).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.join(split, key, "left_semi").withColumn("_before", F.max("_last").over(ahead)).select(*key, "_task", "_before")
+    here = Window.partitionBy("_task", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.withColumn("_here", F.max("from").over(here)).filter("_offer = 0").join(F.broadcast(before), [*key, "_task"], "left")  # at most two rows per task
+    return out.withColumn("from", F.coalesce("_here", "_before")).filter("`from` is not null").select(*asks.columns, "from")
+
+
 def link_quotes(parsed: DataFrame) -> DataFrame:
     """(conv, turn, parent) of every message with a linked quote.
 
-    Only passages that are quoted at all are looked up, so a conversation of any
-    length meets its few quotes, not itself.
+    Only units that are quoted at all are looked up, so a conversation of any
+    length meets its few quotes, not itself; where nothing is quoted, no text is
+    cut into units.
     """
-    asks = parsed.filter(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash")).distinct()
-    offers = parsed.select("conv", F.col("turn").alias("from"), F.explode("sources").alias("hash"))
+    told = parsed.filter("turn is not null")
+    passages = told.filter(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("q"))
+    passages = passages.select("conv", "turn", "q.level", F.col("q.hash").alias("passage"), "q.text", F.lit(None).cast("array<int>").alias("cuts"))
+    asks = materialise(unit_rows(passages), "quote-asks")
+    if asks.isEmpty():
+        return asks.select("conv", "turn", F.col("turn").alias("parent"))
     wanted = asks.select("conv", "hash").distinct()
-    offers = offers.join(wanted, ["conv", "hash"], "left_semi")
-    found = asks.join(offers, ["conv", "hash"]).filter(F.col("from") < F.col("turn"))
+    offers = unit_rows(told.select("conv", "turn", F.lit(0).alias("level"), F.lit("").alias("passage"), F.col("own").alias("text"), "cuts"))
+    offers = materialise(offers.select("conv", "turn", "hash").join(wanted, ["conv", "hash"], "left_semi"), "quote-offers")
+    found = latest_before(asks, offers).groupBy("conv", "turn", "level", "passage").agg(F.max(F.struct("weight", "from"))["from"].alias("from"))
     return found.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("from")))["from"].alias("parent"))
 
 

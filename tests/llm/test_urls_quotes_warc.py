@@ -90,6 +90,43 @@ def test_long_chains_and_large_conversations(spark):
     assert sorted(r.position for r in got if r.conv == "e") == list(range(500))
 
 
+LONG = "A one.\nB two\nC three. And four. Last\n\nP two, first.\nIts end.\n\nP three."
+EXCERPTS = [
+    ("> A one.\n> B two\nyes", 0),  # lines out of a longer paragraph
+    ("> P two, first.\n> Its end.\n>\n> P three.\nyes", 0),  # two of three paragraphs
+    ("> And four.\nyes", 0),  # a sentence out of a line
+    ("> P two, first. Its\n> end.\n>\n> P three.\nyes", 0),  # wrapped anew
+    ("> B two\n> C three. And four. Last\n> never said\nyes", 0),  # with a line that nobody wrote
+    ("> never said\n> at all\nno", None),
+]
+
+
+def test_excerpts_find_their_message(spark):
+    data = [("c", 0, "u", LONG, "x")] + [("c", i, "u", t, "x") for i, (t, _) in enumerate(EXCERPTS, 1)]
+    got = {r.turn: r for r in quotes.linked_messages(messages(spark, data)).collect()}
+    assert [got[i].parent_turn for i in range(1, len(data))] == [p for _, p in EXCERPTS]
+    assert all(got[i].depth == 1 and got[i].root_turn == 0 for i, (_, p) in enumerate(EXCERPTS, 1) if p is not None)
+
+
+def test_interleaved_replies_are_found(spark):
+    data = [
+        ("c", 0, "u", "old", "x"),
+        ("c", 1, "u", "intro1\nintro2\n> old\nreply1\nreply2", "x"),
+        ("c", 2, "u", "> intro1\n> intro2\n>> old\n> reply1\n> reply2\nme", "x"),
+        ("c", 3, "u", "> intro1 intro2\nwrapped", "x"),
+    ]
+    got = {r.turn: (r.parent_turn, r.depth, r.quotes) for r in quotes.linked_messages(messages(spark, data)).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 1, 1), 2: (1, 2, 3), 3: (1, 2, 1)}
+
+
+def test_the_longest_run_decides_and_then_the_latest(spark):
+    data = [("c", 0, "u", "a\nb\nc\nd", "x"), ("c", 1, "u", "c\nz", "x"), ("c", 2, "u", "a", "x"), ("c", 3, "u", "> a\n> b\n> c", "x"), ("c", 4, "u", "> a", "x")]
+    data += [("h", i, "u", f"> same\n> n{i - 1}\nsame\nn{i}", "x") for i in range(300)]
+    got = {(r.conv, r.turn): r.parent_turn for r in quotes.linked_messages(messages(spark, data)).collect()}
+    assert (got["c", 3], got["c", 4]) == (0, 2)
+    assert all(got["h", i] == (i - 1 if i else None) for i in range(300))
+
+
 def test_levels():
     assert quotes.quote_level(">> a") == (2, "a") and quotes.quote_level(" > > a") == (2, "a") and quotes.quote_level("a > b") == (0, "a > b")
     assert quotes.parse("a\n> b\n>> c\n> d\ne") == ("a\ne", [(1, "b"), (2, "c"), (1, "d")])
