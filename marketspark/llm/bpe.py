@@ -301,8 +301,7 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _file_decoder(path: str) -> IncrementalDecoder:
-    bpe = word_bpe(path)
+def _file_decoder(bpe: WordBpe) -> IncrementalDecoder:
     return IncrementalDecoder(bpe.names, bpe.transducer.suffix, bpe.special.values(), spaced=True)
 
 
@@ -340,6 +339,14 @@ def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_
     return rows.mapInArrow(decode, "_id long, decoded string").withColumnRenamed("_id", id_col)
 
 
+def digests_of(bpe: WordBpe, text: str) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids, digest of what the state machine decodes from them, taken one at a time."""
+    numbers = bpe.strings(text)[0]
+    ids, machine = numbers.split(), _file_decoder(bpe)
+    decoded = "".join(map(machine.push, map(int, ids))) + machine.finish()
+    return len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 (what the tokenizer file's own decoding gives).
 
@@ -350,12 +357,8 @@ def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def digests(batches):
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                numbers, tokens = bpe.strings(text)
-                n.append(numbers.count(" ") + 1 if numbers else 0)
-                ids.append(hashlib.sha256(numbers.encode()).hexdigest())
-                decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
+            done = [digests_of(bpe, text) for text in batch.column(1).to_pylist()]
+            n, ids, decoded = ([d[k] for d in done] for k in range(3))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -90,6 +90,14 @@ def test_decoding_gives_bytes_as_they_end():
     assert "".join(out) + machine.finish() == "naïve 漢字 don 't "
 
 
+def test_digests_decode_the_ids():
+    mine = bpe.WordBpe(WORD)
+    got = bpe.digests_of(mine, "hello world")
+    assert got[0] == 2 and got[2] == hashlib.sha256(b"hello</w> world</w>").hexdigest()
+    mine.names = mine.names | {mine.vocab["world</w>"]: "moon</w>"}  # as if the id were wrong
+    assert bpe.digests_of(mine, "hello world")[2] == hashlib.sha256(b"hello</w> moon</w>").hexdigest()
+
+
 def test_document_forms(spark, make, hard):
     t = library(WORD)
     got = bpe.encode_digests(make(hard), WORD).collect()
