@@ -15,6 +15,8 @@ RULES = tuple(
     url_filter.Rule(verdict, target)
     for verdict, target in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 )
+#: Below nearly every page of the test tables, so that records are really segmented.
+SEGMENT_BYTES = 1024
 POLICY = url_filter.UrlPolicy(RULES)
 
 
@@ -55,7 +57,7 @@ def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.archive_round_trip(table(spark, sf_dir, "pages"), new_table_path(spark, "warc"))
+    out = warc.archive_round_trip(table(spark, sf_dir, "pages"), new_table_path(spark, "warc"), segment_bytes=SEGMENT_BYTES)
     return out.filter(F.when(F.col("verified"), True).otherwise(F.raise_error("a WARC record fails its verification").cast("boolean"))).drop("verified")
 
 

@@ -187,6 +187,15 @@ def test_a_lost_segment_is_told(spark, tmp_path):
     assert [r.verified for r in warc.read_warc(spark, f"file://{tmp_path}/v").collect()] == [False]
 
 
+def test_the_query_writes_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "new_table_path", lambda *a: f"file://{tmp_path}/w")
+    n = queries.op6_warc_segments(spark, SMALL).count()
+    found = [h for f in (tmp_path / "w").glob("part-*.gz") for h, _ in warc.parse_records(f.read_bytes())]
+    kinds = Counter(h["warc-type"] for h in found)
+    assert kinds["response"] + kinds["revisit"] == n and kinds["continuation"] > 0
+    assert sum("warc-segment-number" in h for h in found if h["warc-type"] == "response") > 0.5 * kinds["response"]
+
+
 def test_an_empty_table_writes_no_record(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(df, f"file://{tmp_path}/w").count() == 0
