@@ -9,8 +9,12 @@ change any more, whatever follows: it is emitted, and because no merge crosses
 its end, the rest is encoded as if it stood alone. So a word of any length needs
 a window of a fixed number of symbols.
 
-Decoding. ``IncrementalDecoder`` takes one id at a time and holds back at most the
-three bytes of an unfinished UTF-8 character.
+A text passes in blocks of some 64 KiB that end before white space; each word's ids
+are final when its last token is stable, and go on at once, so what is held beside
+the text itself doesn't grow with it. (A run without any white space is one block.)
+
+Decoding. ``IncrementalDecoder`` takes ids, one or several at a time, and holds back
+at most the three bytes of an unfinished UTF-8 character.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketspark.llm.common import id_and_text
+from marketspark.llm.common import Known, column_of, id_and_text, small
 
 #: Unicode's White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -150,9 +154,7 @@ class Transducer:
             yield from self.merged(window)
 
     def tokens(self, symbols: list[str]) -> list[str]:
-        """The tokens of a word that is at hand; one that fits the window needs no stream."""
-        if len(symbols) >= self.block:
-            return list(self.stream(symbols))
+        """The tokens of a word that fits the window; it needs no stream."""
         if symbols:
             symbols[-1] += self.suffix
         return self.merged(symbols)
@@ -161,11 +163,7 @@ class Transducer:
 class WordBpe:
     """A tokenizer file of the word-end kind: NFC, white space to one space, lower case, split, merge."""
 
-    #: Words kept with their ids; the table is emptied beyond, so memory stays bounded.
-    MEMO = 250_000
-    LONG = 80
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_bytes: int = 20 << 20):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         model = said["model"]
@@ -179,9 +177,10 @@ class WordBpe:
         self.beyond = re.compile("[^\\u0000-\\u024f]")
         self.unknown = re.compile(f"[{char_class('Cn')}]")
         self.spaces = re.compile(rf"[{SPACE}]+")
+        self.space = re.compile(rf"[{SPACE}]")
         letters = byte_alphabet()
         self.letters = [letters[b] for b in range(256)]
-        self.memo = _Memo(self)
+        self.known = Known(self.word, table_bytes)
         self.path, self.library = path, None
 
     def normalise(self, text: str) -> str:
@@ -217,56 +216,65 @@ class WordBpe:
                 yield part, bool(i % 2)
 
     def blocks(self, text: str, size: int = 1 << 16) -> Iterator[str]:
-        """Normalised text in blocks that end at a space, so that no word is cut."""
+        """The text in blocks that end before white space, so that no word is cut and no character changes by its neighbours."""
         at = 0
         while at < len(text):
             end = at + size
             if end < len(text):
-                end = text.find(" ", end)
-                end = len(text) if end < 0 else end
+                found = self.space.search(text, end)
+                end = found.start() if found else len(text)
             yield text[at:end]
             at = end
 
-    def strings(self, text: str) -> tuple[str, str]:
-        """(the ids in decimal, joined by one space; the tokens, joined by one space)."""
-        ids, tokens = [], []
-        memo = self.memo
+    def word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word that fits the window."""
+        letters, vocab = self.letters, self.vocab
+        return tuple([vocab[t] for t in self.transducer.tokens([letters[b] for b in word.encode("utf-8", "replace")])])
+
+    def long_word(self, word: str, size: int = 1 << 12) -> Iterator[int]:
+        """The ids of a word of any length, each as soon as its token is stable."""
+        letters, vocab = self.letters, self.vocab
+        symbols = (letters[b] for at in range(0, len(word), size) for b in word[at : at + size].encode("utf-8", "replace"))
+        for token in self.transducer.stream(symbols):
+            yield vocab[token]
+
+    def block_ids(self, block: str, by_file: bool) -> Iterator[list[int]]:
+        """The ids of a block, in lists of bounded length."""
+        known, window = self.known, self.transducer.block // 4  # a character is four bytes at most
+        words = self.split_by_file(block) if by_file else self.split(self.normalise(block))
+        if max(map(len, words), default=0) < window:
+            yield [i for w in words for i in known[w]]
+            return
+        for word in words:
+            if len(word) < window:
+                yield list(known[word])
+                continue
+            out = []
+            for i in self.long_word(word):
+                out.append(i)
+                if len(out) >= 4096:
+                    yield out
+                    out = []
+            yield out
+
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a whole text, in lists of bounded length, each as soon as its tokens are stable."""
         for part, special in self.pieces(text):
             if special:
-                ids.append(str(self.special[part]))
-                tokens.append(part)
+                yield [self.special[part]]
                 continue
             odd = not part.isascii() and self.beyond.search(part) is not None and self.unknown.search(part) is not None
-            for block in [part] if odd else self.blocks(self.normalise(part)):
-                if found := self.split_by_file(block) if odd else self.split(block):
-                    got = [memo[w] for w in found]
-                    ids.append(" ".join([g[0] for g in got]))
-                    tokens.append(" ".join([g[1] for g in got]))
-                if len(memo) > self.MEMO:
-                    memo.clear()
-        return " ".join(ids), " ".join(tokens)
+            for block in [part] if odd else self.blocks(part):
+                for ids in self.block_ids(block, odd):
+                    if ids:
+                        yield ids
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.strings(text)[0].split()]
-
-
-class _Memo(dict):
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> tuple[str, str]:
-        bpe = self.bpe
-        letters = bpe.letters
-        tokens = bpe.transducer.tokens([letters[b] for b in word.encode("utf-8", "replace")])
-        out = " ".join([str(bpe.vocab[t]) for t in tokens]), " ".join(tokens)
-        if len(word) <= bpe.LONG:
-            self[word] = out
-        return out
+        return [i for ids in self.stream(text) for i in ids]
 
 
 class IncrementalDecoder:
-    """Ids to text, one at a time.
+    """Ids to text, as they come.
 
     ``spaced`` gives what a tokenizer file without a decoder gives: the tokens
     as they stand in the vocabulary, with one space between. Otherwise tokens are
@@ -292,6 +300,16 @@ class IncrementalDecoder:
             name = name[: -len(self.suffix)]
         return self.state.decode(bytes(self.bytes[c] for c in name) + (b" " if ends else b""))
 
+    def feed(self, ids: list[int]) -> str:
+        """What ``push`` gives for these ids, one after the other."""
+        if not self.spaced:
+            return "".join(map(self.push, ids))
+        out = " ".join(map(self.names.__getitem__, ids))
+        if ids and not self.first:
+            out = " " + out
+        self.first = self.first and not ids
+        return out
+
     def finish(self) -> str:
         return "" if self.spaced else self.state.decode(b"", True)
 
@@ -315,7 +333,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def encode(batches):
         bpe = word_bpe(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["_id", "ids"])
 
@@ -323,28 +341,39 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids", spaced: bool = False) -> DataFrame:
-    """Per row: id and ``decoded``, by the state machine. Null or empty ids give the empty text."""
-    from pyspark.sql import functions as F
+    """Per row: id and ``decoded``, by the state machine.
+
+    Null or empty ids give the empty text; repeated rows are decoded each; an
+    empty table gives no rows; other columns are not looked at.
+    """
 
     def decode(batches):
         bpe = word_bpe(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for ids in batch.column(1).to_pylist():
                 machine = IncrementalDecoder(bpe.names, bpe.transducer.suffix, bpe.special.values(), spaced)
-                out.append("".join([machine.push(i) for i in ids or ()]) + machine.finish())
+                out.append(machine.feed(ids or []) + machine.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_id", "decoded"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col).alias("_ids"))
+    rows = df.select(column_of(df, id_col).cast("long").alias("_id"), column_of(df, ids_col).alias("_ids"))
     return rows.mapInArrow(decode, "_id long, decoded string").withColumnRenamed("_id", id_col)
 
 
 def digests_of(bpe: WordBpe, text: str) -> tuple[int, str, str]:
-    """Number of ids, digest of the ids, digest of what the state machine decodes from them, taken one at a time."""
-    numbers = bpe.strings(text)[0]
-    ids, machine = numbers.split(), _file_decoder(bpe)
-    decoded = "".join(map(machine.push, map(int, ids))) + machine.finish()
-    return len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    """Number of ids, digest of the ids, digest of what the state machine decodes from them.
+
+    Both digests are fed as ids become stable; neither the ids nor the decoded
+    text of a whole document are ever held.
+    """
+    n, told, decoded, machine, gap = 0, hashlib.sha256(), hashlib.sha256(), _file_decoder(bpe), ""
+    for ids in bpe.stream(text):
+        n += len(ids)
+        told.update((gap + " ".join(map(str, ids))).encode())
+        decoded.update(machine.feed(ids).encode())
+        gap = " "
+    decoded.update(machine.finish().encode())
+    return n, told.hexdigest(), decoded.hexdigest()
 
 
 def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +385,7 @@ def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def digests(batches):
         bpe = word_bpe(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             done = [digests_of(bpe, text) for text in batch.column(1).to_pylist()]
             n, ids, decoded = ([d[k] for d in done] for k in range(3))
             yield pa.RecordBatch.from_arrays(

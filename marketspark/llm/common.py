@@ -1,27 +1,35 @@
-"""Shared helpers: shared-folder tables, stable input projection, safe names."""
+"""Shared helpers: shared-folder tables, stable input projection, safe names, bounded worker memory."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Of a call to shared_dir() on a session that names no shared folder.
+#: Of a call to shared_dir() on a local session that names no shared folder.
 _LOCAL: dict[str, str] = {}
+#: Paths of the intermediate tables that are still there.
+_TABLES: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach, for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a local temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the session runs in one process (tests, a laptop) a local temporary folder
+    takes its place; any other master without the setting is an error.
     """
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="marketspark-")
@@ -29,19 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    """A fresh path in the shared folder; what is written there goes when the driver ends, or by ``drop_tables``."""
     path = f"{shared_dir(spark)}/marketspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    _TABLES[path] = spark
     return path
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before; the folder is the cluster's to clear
-        pass
+def _forget(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:  # the session has ended; the folder is the cluster's to clear
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    from py4j.protocol import Py4JError
+
+    for path in list(_TABLES):
+        try:
+            _forget(path)
+        except (Py4JError, OSError):  # the JVM went first
+            return
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -51,11 +69,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_table_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._marketspark_path = path
+    return out
 
 
-def drop_table(df_path: str, spark: SparkSession) -> None:
-    _forget(spark, df_path)
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes materialised tables that no result reads any more."""
+    for t in tables:
+        _forget(t._marketspark_path)
 
 
 def column_of(df: DataFrame, name: str) -> Column:
@@ -77,3 +99,49 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish = "_" + wish
     return wish
+
+
+def small(batches: Iterable[pa.RecordBatch], most_bytes: int = 2_000_000, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most_bytes`` (one row at least), so few of them are Python objects at once.
+
+    When a task's rows are through, what Arrow's allocator holds back goes to the system.
+    """
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            step = max(1, min(most_rows, n if not n else int(most_bytes * n / max(1, batch.nbytes))))
+            for at in range(0, n, step):
+                yield batch.slice(at, step)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+class Known(dict):
+    """A table of what ``work`` gives for a word, of bounded bytes: two halves, of which the older goes when the newer is full.
+
+    Frequent words are moved to the newer half when they are met again, so they stay.
+    """
+
+    #: What an entry takes besides its key and value: the dict's slot, two object heads.
+    ENTRY = 220
+
+    def __init__(self, work: Callable[[str], object], most_bytes: int = 16 << 20):
+        super().__init__()
+        self.work, self.half, self.size, self.older = work, most_bytes // 2, 0, {}
+
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.work(word)
+        self.keep(word, found)
+        return found
+
+    def keep(self, word: str, found) -> None:
+        cost = self.ENTRY + 4 * len(word)
+        if cost > self.half // 64:
+            return  # a word that long would push out many
+        self.size += cost
+        if self.size > self.half:
+            self.older, self.size = dict(self), cost
+            self.clear()
+        self[word] = found

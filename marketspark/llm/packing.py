@@ -5,27 +5,30 @@ over is a piece. The pieces of a task are placed in order of falling length, eac
 into the open sequence with the least room that holds it. A segment tree over the
 possible amounts of room finds that one in log(seq_len) steps.
 
-A task packs the documents it reads, so nothing is shuffled; only the last few
-sequences of a task have room left. A task's pieces are kept as numbers (no text,
-no ids), and a task that reads more than ``max_pieces`` of them packs those first.
+A task packs the documents it reads, as numbers (no text, no ids). Only its last
+few sequences have room left. Their pieces, a few dozen numbers for each task, are
+gathered in groups of some ``TAIL`` and packed once more, so how the input is cut
+into tasks doesn't show in the padding.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketspark.llm.bpe import SPACE, byte_alphabet, char_class
-from marketspark.llm.common import id_and_text
+from marketspark.llm.common import Known, id_and_text, materialise, small
 
 
 class RoomTree:
@@ -108,34 +111,34 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 
 
 class ByteBpe:
-    """ids as the tokenizers library gives them, each distinct word worked out once while the table lasts."""
+    """ids as the tokenizers library gives them; of words met again the ids are known, in a table of bounded bytes."""
 
-    MEMO = 700_000
-    LONG = 80
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_bytes: int = 10 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path, self.library = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.patterns = [self.pattern(n) for n in (0x80, 0x250)]
         self.beyond = re.compile("[^\\u0000-\\u024f]")
-        self.memo: dict[str, bytes] = {}
         ranks = byte_ranks(path)
         self.encode = None
         if ranks is not None:
             import tiktoken
 
             self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known = Known(self.word, table_bytes)
+
+    def by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-    def new_words(self, words: list[str]) -> dict[str, bytes]:
-        if self.encode is not None:
-            return {w: array("I", self.encode(w)).tobytes() for w in words}
-        found = self.library.encode_batch(words, add_special_tokens=False)
-        return {w: array("I", e.ids).tobytes() for w, e in zip(words, found, strict=True)}
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def word(self, word: str) -> bytes:
+        return array("I", self.encode(word) if self.encode is not None else self.by_library(word)).tobytes()
 
     @staticmethod
     def pattern(below: int) -> re.Pattern:
@@ -146,18 +149,9 @@ class ByteBpe:
         """The ids of a whole text, as unsigned 32-bit numbers."""
         ascii_only = text.isascii()
         if (not ascii_only and self.beyond.search(text)) or any(t in text for t in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        words, memo = self.patterns[0 if ascii_only else 1].findall(text), self.memo
-        try:
-            return np.frombuffer(b"".join([memo[w] for w in words]), np.uint32)
-        except KeyError:
-            new = [w for w in set(words) if w not in memo]
-        got = self.new_words(new)
-        out = b"".join([got.get(w) or memo[w] for w in words])
-        if len(memo) > self.MEMO:
-            memo.clear()
-        memo.update((w, b) for w, b in got.items() if len(w) <= self.LONG)
-        return np.frombuffer(out, np.uint32)
+            return np.array(self.by_library(text), np.uint32)
+        known = self.known
+        return np.frombuffer(b"".join([known[w] for w in self.patterns[0 if ascii_only else 1].findall(text)]), np.uint32)
 
 
 @lru_cache(maxsize=4)
@@ -166,58 +160,79 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_COLUMNS = [c.split(" ")[0] for c in PIECES.split(", ")]
-
-
-def pack_documents(
-    df: DataFrame,
-    tokenizer: str,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    seq_len: int = 2048,
-    end_id: int = 1,
-    max_pieces: int = 1_000_000,
-) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+_COLUMNS = ["_id", *(c.split(" ")[0] for c in PIECES.split(", "))]
+#: Pieces that one task of the second packing gets, about.
+TAIL = 500_000
+#: Room, as a share of a sequence, beyond which a task's sequence is opened again.
+LOOSE = 1 / 64
 
-    A document is its ids and then ``end_id``; every id lies in one piece. Within
-    a sequence, offsets are gapless from 0. ``sequence_id`` holds the task's
-    number above its 32 low bits. Null text is the empty text, which is ``end_id``
-    alone. Rows that repeat an identifier are packed each. An empty table gives no
-    rows; other columns are not looked at.
-    """
-    if seq_len < 1 or max_pieces < 1:
-        raise ValueError("seq_len and max_pieces are at least 1")
-    end = np.array([end_id], np.uint32).tobytes()
 
-    def pieces_of(doc_id, text: str, ids: Callable[[str], np.ndarray]) -> Iterator[tuple]:
-        data = memoryview(ids(text).tobytes() + end)
-        n = len(data) // 4
-        for start in range(0, n, seq_len):
-            length = min(seq_len, n - start)
-            yield doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n
+class _Pieces:
+    """Pieces of a task as rows of numbers; identifiers apart, for they may be null."""
+
+    def __init__(self):
+        self.ids: list[pa.Array] = []
+        self.numbers = array("q")
 
-    def packed(rows: list[tuple], task: int, first: int) -> tuple[Iterable[pa.RecordBatch], int]:
-        ids = [r[0] for r in rows]
-        numbers = np.array([r[1:] for r in rows], np.int64).reshape(-1, 4)
+    def packed(self, seq_len: int, first_sequence: int) -> tuple[pa.Table, np.ndarray]:
+        """(the table of _COLUMNS in order of sequence and offset, for each row the room its sequence has left)."""
+        numbers = np.frombuffer(self.numbers, np.int64).reshape(-1, 4)
         sequence, offset, n = best_fit_decreasing(numbers[:, 1], seq_len)
-        sequence += (task << 32) + first
+        room = seq_len - np.bincount(sequence, numbers[:, 1], n).astype(np.int64)
         order = np.lexsort((offset, sequence))
-        table = pa.table([pa.array(ids, pa.int64()), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(sequence), pa.array(offset)], names=["_id", *_COLUMNS])
-        return table.take(pa.array(order)).to_batches(max_chunksize=10_000), first + n
+        ids = pa.chunked_array(self.ids, pa.int64())
+        table = pa.table([ids, *(pa.array(numbers[:, i]) for i in range(4)), pa.array(sequence + first_sequence), pa.array(offset)], names=_COLUMNS)
+        return table.take(pa.array(order)), room[sequence[order]]
+
+
+def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, end_id: int = 1) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A document is its ids and then ``end_id``; every id lies in one piece. Within
+    a sequence, offsets are gapless from 0. ``sequence_id`` holds the task's number
+    above its 32 low bits; those of the second packing have bit 62 set. Null text
+    is the empty text, which is ``end_id`` alone. Rows that repeat an identifier,
+    and rows without one, are packed each. An empty table gives no rows; other
+    columns are not looked at.
+    """
+    if seq_len < 1:
+        raise ValueError("seq_len is at least 1")
+    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, ids, rows, first = TaskContext.get().partitionId(), byte_bpe(tokenizer).ids, [], 0
+        task, ids, held = TaskContext.get().partitionId(), byte_bpe(tokenizer).ids, _Pieces()
+        for batch in small(batches):
+            repeats = []
+            for text in batch.column(1).to_pylist():
+                data = memoryview(ids(text).tobytes() + end)
+                n = len(data) // 4
+                for start in range(0, n, seq_len):
+                    length = min(seq_len, n - start)
+                    held.numbers.extend((start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n))
+                repeats.append(-(-n // seq_len))
+            held.ids.append(batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), repeats))))
+        if held.ids:
+            table, room = held.packed(seq_len, task << 32)
+            table = table.append_column("_loose", pa.array(room > LOOSE * seq_len))
+            yield from table.to_batches(max_chunksize=10_000)
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, held = TaskContext.get().partitionId(), _Pieces()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend(pieces_of(doc_id, text, ids))
-            if len(rows) >= max_pieces:
-                out, first = packed(rows, task, first)
-                rows = []
-                yield from out
-        if rows:
-            yield from packed(rows, task, first)[0]
-
-    return id_and_text(df, id_col, text_col).mapInArrow(run, f"_id long, {PIECES}").withColumnRenamed("_id", id_col)
+            held.ids.append(batch.column(0))
+            held.numbers.frombytes(np.stack([batch.column(i).to_numpy() for i in range(1, 5)], axis=1).astype(np.int64).tobytes())
+        if held.ids:
+            yield from held.packed(seq_len, (1 << 62) + (task << 32))[0].to_batches(max_chunksize=10_000)
+
+    schema = f"_id long, {PIECES}"
+    first = materialise(id_and_text(df, id_col, text_col).mapInArrow(run, f"{schema}, _loose boolean"), "pieces")
+    tail = first.filter("_loose").select(_COLUMNS)
+    groups = max(1, math.ceil(tail.count() / TAIL))
+    # sorted, so that a task that is run again packs the same way
+    dealt = tail.repartition(groups, F.shiftright("sequence_id", 32)).sortWithinPartitions("sequence_id", "offset")
+    packed = materialise(dealt.mapInArrow(again, schema), "tail-pieces")
+    return first.filter("not _loose").select(_COLUMNS).unionByName(packed).withColumnRenamed("_id", id_col)

@@ -29,9 +29,8 @@ def test_encoding_equals_the_library():
     t, mine = library(WORD), bpe.WordBpe(WORD)
     for text in TEXTS:
         e = t.encode(text, add_special_tokens=False)
-        ids, tokens = mine.strings(text)
-        assert [int(x) for x in ids.split()] == e.ids
-        assert tokens == t.decode(e.ids, skip_special_tokens=False)
+        assert mine.encode(text) == e.ids
+        assert bpe._file_decoder(mine).feed(e.ids) == t.decode(e.ids, skip_special_tokens=False)
 
 
 def test_every_character_is_encoded_as_the_library_does():
@@ -90,6 +89,56 @@ def test_decoding_gives_bytes_as_they_end():
     assert "".join(out) + machine.finish() == "naïve 漢字 don 't "
 
 
+def test_ids_decode_alike_one_or_several_at_a_time():
+    mine = bpe.WordBpe(WORD)
+    ids = mine.encode("naïve 漢字 <|endoftext|> don't 𝒳")
+    for spaced in (True, False):
+        make = lambda: bpe.IncrementalDecoder(mine.names, "</w>", mine.special.values(), spaced)  # noqa: E731, B023
+        one, several = make(), make()
+        want = "".join(map(one.push, ids)) + one.finish()
+        assert several.feed([]) + several.feed(ids[:1]) + several.feed([]) + several.feed(ids[1:]) + several.finish() == want
+
+
+def test_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    mine = bpe.WordBpe(WORD, table_bytes=1 << 20)
+    text = prose(5, 40_000)
+    bpe.digests_of(mine, text)
+    most = []
+    for times in (4, 40):
+        long = " ".join([text] * times)
+        tracemalloc.start()
+        bpe.digests_of(mine, long)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert len(long) > 8_000_000 and most[1] < 1.2 * most[0] and most[1] < 0.6 * len(long)
+
+
+def test_a_word_of_a_million_letters_passes_in_the_window():
+    mine = bpe.WordBpe(WORD)
+    most, plain = 0, mine.transducer.merged
+
+    def watched(symbols):
+        nonlocal most
+        most = max(most, len(symbols))
+        return plain(symbols)
+
+    mine.transducer.merged = watched
+    text = "abcdefgh" * 40_000
+    lists = list(mine.stream(text))
+    assert max(map(len, lists)) <= 4096 and most <= mine.transducer.block + mine.transducer.lookahead + 1
+    assert [i for x in lists for i in x] == library(WORD).encode(text, add_special_tokens=False).ids
+
+
+def test_blocks_do_not_show():
+    t, mine = library(WORD), bpe.WordBpe(WORD)
+    for text in ("\n".join(["x\u0301 I'm éa 12!? "] * 9), "a\u2003\u0301b\u3000c" * 7, "no-space" * 9):
+        for size in (1, 5, 64):
+            mine.blocks = lambda x, n=size: bpe.WordBpe.blocks(mine, x, n)
+            assert mine.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_digests_decode_the_ids():
     mine = bpe.WordBpe(WORD)
     got = bpe.digests_of(mine, "hello world")
@@ -146,7 +195,7 @@ def test_best_fit_equals_brute_force(seed):
 def test_packing_is_complete_and_tight(make, hard):
     t = library(BYTE)
     rows = [(i, x) for i, x in hard if i != 3] + [(200 + i, prose(i, 20 + 37 * i % 900)) for i in range(150)]
-    got = packing.pack_documents(make(rows).filter("doc_id is not null").repartition(2), BYTE, seq_len=256, max_pieces=300).toPandas()
+    got = packing.pack_documents(make(rows).filter("doc_id is not null").repartition(2), BYTE, seq_len=256).toPandas()
     total = 0
     for i, x in rows:
         if i is None:
@@ -163,3 +212,26 @@ def test_packing_is_complete_and_tight(make, hard):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 256
     assert total / (256 * got.sequence_id.nunique()) > 0.9
     assert packing.pack_documents(make([]), BYTE).count() == 0
+
+
+def test_how_the_input_is_cut_does_not_show_in_the_padding(make):
+    rows = [(i, prose(i, 5 + 53 * i % 700)) for i in range(600)]
+    full = []
+    for parts in (1, 32):
+        got = packing.pack_documents(make(rows).repartition(parts), BYTE).toPandas()
+        assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all()
+        for _, s in got.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
+        full.append(got.length.sum() / (2048 * got.sequence_id.nunique()))
+    assert min(full) > 0.98
+
+
+def test_packing_of_repeated_and_null_ids(make, hard):
+    got = packing.pack_documents(make(hard).repartition(4), BYTE).collect()
+    t = library(BYTE)
+    tokens = lambda x: len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got) == sum(tokens(x) for _, x in hard)
+    assert sum(r.doc_id == 3 for r in got) == 2 and sum(r.doc_id is None for r in got) == 2
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(places) == len(got)
