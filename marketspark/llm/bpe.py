@@ -180,7 +180,7 @@ class WordBpe:
         self.space = re.compile(rf"[{SPACE}]")
         letters = byte_alphabet()
         self.letters = [letters[b] for b in range(256)]
-        self.known = Known(self.word, table_bytes)
+        self.known = Known(self.word, table_bytes, entry=300)
         self.path, self.library = path, None
 
     def normalise(self, text: str) -> str:

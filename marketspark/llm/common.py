@@ -122,12 +122,10 @@ class Known(dict):
     Frequent words are moved to the newer half when they are met again, so they stay.
     """
 
-    #: What an entry takes besides its key and value: the dict's slot, two object heads.
-    ENTRY = 220
-
-    def __init__(self, work: Callable[[str], object], most_bytes: int = 16 << 20):
+    def __init__(self, work: Callable[[str], object], most_bytes: int, entry: int = 120):
+        """``entry``: bytes that an entry takes besides its key's characters, as measured."""
         super().__init__()
-        self.work, self.half, self.size, self.older = work, most_bytes // 2, 0, {}
+        self.work, self.entry, self.half, self.size, self.older = work, entry, most_bytes // 2, 0, {}
 
     def __missing__(self, word: str):
         found = self.older.get(word)
@@ -137,7 +135,7 @@ class Known(dict):
         return found
 
     def keep(self, word: str, found) -> None:
-        cost = self.ENTRY + 4 * len(word)
+        cost = self.entry + len(word)
         if cost > self.half // 64:
             return  # a word that long would push out many
         self.size += cost

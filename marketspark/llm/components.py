@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import materialise
+from marketspark.llm.common import drop_tables, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,9 +27,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(lower, "x").select(F.explode(F.array(F.struct(F.col("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e"))
         small = small.select("e.x", "e.y").filter("x > y").distinct()
-        now = materialise(small, "links")
+        before, now = now, materialise(small, "links")
+        drop_tables(before)
         sums = now.agg(F.count("*"), F.sum(F.col("x").cast("decimal(38,0)")), F.sum(F.col("y").cast("decimal(38,0)")), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if sums == seen:
             break
         seen = sums
-    return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+    roots = now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+    out = materialise(roots, "roots")
+    drop_tables(now)
+    return out

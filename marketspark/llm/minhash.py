@@ -35,16 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import column_of, id_and_text, materialise
+from marketspark.llm.common import Known, column_of, drop_tables, id_and_text, materialise, small
 from marketspark.llm.components import components
 
 #: Documents that hold a shingle, as a share of all, up to which its idf is highest.
 COMMON = 0.05
 #: Counters of the first pass: its false candidates cost time only.
 COUNTERS = 1 << 18
-#: Slots of the sampler.
-TABLE = 1 << 15
-_SLOT = np.uint64(65 - TABLE.bit_length())
+#: Rows of each of the sampler's two tables of draws.
+TABLE = 1 << 13
+#: Shingles that the sampler looks at together.
+BLOCK = 1024
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -57,17 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    MOST = 500_000
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > self.MOST:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_digest(word.encode("utf-8", "replace"))
-        return out
-
-
-_WORDS = _Words()
+_WORDS = Known(lambda word: xxhash.xxh3_64_digest(word.encode("utf-8", "replace")), 20 << 20)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -138,104 +129,82 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 class Icws:
-    """``samples`` consistent weighted samples.
+    """``samples`` improved consistent weighted samples.
 
     Sample k picks the shingle s of weight S with the least
-    ``a = c / (y * exp(r))``, where ``t = floor(ln S / r + beta)`` and
-    ``y = exp(r * (t - beta))``; r and c are Gamma(2, 1) and beta uniform, drawn for
-    (k, slot of s), and the slot is one of TABLE by a hash of s. The sample is (s, t).
-
-    Nearly all weights are 2. For these the slots' ranks by a are worked out once
-    for every sample, so a document's smallest rank per sample is a minimum over
-    rows of small integers; other weights go by the formula. Of shingles that share
-    slot and weight the smallest hash stands for all.
+    ``ln a = ln c - (ln y + r)``, where ``t = floor(ln S / r + beta)`` and
+    ``ln y = r * (t - beta)``; r and c are Gamma(2, 1) and beta uniform. The
+    sample is (s, t), so two texts agree in one with a probability of their
+    weighted Jaccard similarity.
+
+    A shingle's (r, beta) and its c come from two tables of TABLE rows, looked up by
+    two independent parts of its hash: any two shingles differ in their draws, but
+    for one pair in TABLE ** 2, and no logarithm is taken for a shingle. Nearly all
+    weights are 2, and for these ``ln y + r`` is a table too. Both terms are
+    compared in steps of STEP; of equals the shingle of the smallest hash is taken.
     """
 
-    MEMO = 20_000
+    #: Of ln a; two shingles fall into one step in about one comparison of a thousand.
+    STEP = 1 / 1024
+    #: Bounds of ln c and of ln y + r; draws beyond them occur once in some million and are cut to them.
+    LOW_C, HIGH_C, HIGH_REACH = -12.0, 4.0, 24.0
 
     def __init__(self, samples: int, seed: int = 1):
         self.samples, self.seed = samples, seed
-        self.k = np.arange(samples, dtype=np.uint64)
-        order = np.empty((samples, TABLE), np.uint16)
-        self.sorted = np.empty((samples, TABLE), np.float32)
-        self.sorted_t = np.empty((samples, TABLE), np.int32)
-        slots = np.arange(TABLE, dtype=np.uint64)
-        self.ranks = np.empty((TABLE, samples), np.uint16)
-        for k in range(samples):
-            a, t = self.at(math.log(2.0), slots, np.uint64(k))
-            order[k] = np.argsort(a, kind="stable")
-            self.sorted[k], self.sorted_t[k] = a[order[k]], np.clip(t[order[k]], -(2**31), 2**31 - 1)
-            self.ranks[order[k], k] = np.arange(TABLE)
-        self.order = order
-        self.memo: dict[tuple[int, float], tuple[np.ndarray, np.ndarray]] = {}
+        cell = mix((np.arange(TABLE, dtype=np.uint64)[:, None] << np.uint64(20)) | np.arange(samples, dtype=np.uint64))
+        self.r = -np.log(self.draw(cell, 1) * self.draw(cell, 2)).astype(np.float32)
+        self.beta = self.draw(cell, 5).astype(np.float32)
+        ln_c = np.log(-np.log(self.draw(cell, 3) * self.draw(cell, 4)))
+        self.c = ((np.clip(ln_c, self.LOW_C, self.HIGH_C) - self.LOW_C) / self.STEP).astype(np.uint16)
+        self.short_of_two = self.short(np.float32(math.log(2.0)), self.r, self.beta)
 
     def draw(self, cell: np.ndarray, what: int) -> np.ndarray:
         """A uniform number in (0, 1] of each cell."""
         salt = np.uint64(int(_MIX[what % 3]) * (what + self.seed) % 2**64)
         return ((mix(cell ^ salt) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
 
-    def at(self, ln_weight, slot: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, t) for slots and sample numbers."""
-        cell = mix((slot << np.uint64(20)) | k)
-        r = -np.log(self.draw(cell, 1) * self.draw(cell, 2))
-        ln_c = np.log(-np.log(self.draw(cell, 3) * self.draw(cell, 4)))
-        beta = self.draw(cell, 5)
-        t = np.floor(ln_weight / r + beta)
-        return ln_c - r * (t - beta) - r, t
-
-    def odd_rows(self, wanted: list[tuple[int, float]]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
-        """(ln a, t) in all samples of shingles whose weight isn't 2, by (hash, weight)."""
-        new = [key for key in dict.fromkeys(wanted) if key not in self.memo]
-        if len(self.memo) + len(new) > self.MEMO:
-            self.memo.clear()
-            new = list(dict.fromkeys(wanted))
-        made = {}
-        for i in range(0, len(new), 256):
-            part = new[i : i + 256]
-            slots = np.array([h for h, _ in part], np.uint64) >> _SLOT
-            a, t = self.at(np.log([w for _, w in part])[:, None], slots[:, None], self.k)
-            made |= dict(zip(part, zip(a.astype(np.float32), np.clip(t, -(2**31), 2**31 - 1).astype(np.int32)), strict=True))
-        out = {key: self.memo.get(key) or made[key] for key in dict.fromkeys(wanted)} if wanted else {}
-        if len(self.memo) + len(made) <= self.MEMO:
-            self.memo |= made
-        return out
+    def short(self, ln_weight, r: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """By how many steps ``ln y + r`` falls short of its bound."""
+        reach = r * (np.floor(ln_weight / r + beta) - beta) + r
+        return ((self.HIGH_REACH - np.clip(reach, 0, self.HIGH_REACH)) / self.STEP).astype(np.uint16)
+
+    @staticmethod
+    def rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(65 - TABLE.bit_length())).astype(np.intp), (h & np.uint64(TABLE - 1)).astype(np.intp)
+
+    def least(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the least a in steps, the place of its shingle) of each sample."""
+        row, other = self.rows(h)
+        a = np.take(self.c, other, axis=0)
+        short = np.take(self.short_of_two, row, axis=0)
+        odd = np.flatnonzero(w != 2.0)
+        if len(odd):
+            short[odd] = self.short(np.log(w[odd]).astype(np.float32)[:, None], self.r[row[odd]], self.beta[row[odd]])
+        a += short
+        at = a.argmin(axis=0)
+        return a[at, np.arange(self.samples)], at
+
+    def sample(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A 64-bit number of (s, t) for each sample, of a text that holds something; its hashes are sorted."""
+        best, at = self.least(h[:BLOCK], w[:BLOCK])
+        for i in range(BLOCK, len(h), BLOCK):
+            more, where = self.least(h[i : i + BLOCK], w[i : i + BLOCK])
+            less = more < best
+            best[less], at[less] = more[less], where[less] + i
+        k, row = np.arange(self.samples), self.rows(h[at])[0]
+        t = np.floor(np.log(w[at]).astype(np.float32) / self.r[row, k] + self.beta[row, k])
+        return h[at] ^ mix(np.clip(t, -(2.0**31), 2.0**31 - 1).astype(np.int64).view(np.uint64))
 
     def bands(self, texts: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> np.ndarray:
         """A 64-bit key per text and band, of (sorted hashes, weights) that hold something."""
-        odd = [np.flatnonzero(w != 2.0) for _, w in texts]
-        given = self.odd_rows([(int(h[i]), float(w[i])) for (h, w), o in zip(texts, odd, strict=True) for i in o])
-        low = np.zeros((len(texts), self.samples), np.uint16)
-        plain = []
-        for d, ((h, w), o) in enumerate(zip(texts, odd, strict=True)):
-            own = h[w == 2.0] if len(o) else h
-            slots = (own >> _SLOT).astype(np.intp)  # own is sorted, so they are too
-            plain.append((own, slots))
-            if len(own):
-                low[d] = self.ranks[slots[:65536]].min(axis=0)
-                for i in range(65536, len(own), 65536):
-                    low[d] = np.minimum(low[d], self.ranks[slots[i : i + 65536]].min(axis=0))
-        k = np.arange(self.samples)
-        best, slot, t = self.sorted[k, low], self.order[k, low], self.sorted_t[k, low]
-        value = mix(t.astype(np.uint64))
-        for d, ((h, w), o, (own, slots)) in enumerate(zip(texts, odd, plain, strict=True)):
-            if len(own):
-                value[d] ^= own[np.searchsorted(slots, slot[d])]
-            else:
-                best[d] = np.inf
-            for i in o:
-                a, t_odd = given[int(h[i]), float(w[i])]
-                less = a < best[d]
-                if less.any():
-                    best[d][less] = a[less]
-                    value[d][less] = h[i] ^ mix(t_odd[less].astype(np.uint64))
-        keys = value.reshape(len(texts), bands, rows)
+        keys = np.stack([self.sample(h, w) for h, w in texts]).reshape(len(texts), bands, rows)
         key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(texts), bands))
         for j in range(rows):
             key = mix(key ^ keys[:, :, j])
         return key
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def icws(samples: int) -> Icws:
     return Icws(samples)
 
@@ -260,7 +229,7 @@ def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
         table = np.zeros(COUNTERS, np.int64)
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(1).to_pylist():
                 held.append(counter_of(occurrences(text)))
                 size += len(held[-1])
@@ -296,7 +265,7 @@ def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(1).to_pylist():
                 h = occurrences(text)
                 h = np.unique(h[counters[counter_of(h)]])
@@ -320,16 +289,12 @@ def signatures(docs: DataFrame, idf_table, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, sampler = Idf(*idf_table.value), icws(bands * rows)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            words, keys = [], []
-            for i in range(0, len(texts), 128):
-                hashes = [word_hashes(t) for t in texts[i : i + 128]]
-                words += [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in hashes]
-                found = [counted(shingled(x)) for x in hashes]
-                some = [(h, n * idf.of(h)) for h, n in found if len(h)]
-                made = iter(sampler.bands(some, bands, rows).view(np.int64) if some else ())
-                keys += [next(made) if len(x) else np.zeros(0, np.int64) for x in hashes]
+        for batch in small(batches, most_rows=256):
+            hashes = [word_hashes(t) for t in batch.column(1).to_pylist()]
+            words = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in hashes]
+            some = [(h, n * idf.of(h)) for h, n in (counted(shingled(x)) for x in hashes) if len(h)]
+            made = iter(sampler.bands(some, bands, rows).view(np.int64) if some else ())
+            keys = [next(made) if len(x) else np.zeros(0, np.int64) for x in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_words", "keys"])
 
     return docs.mapInArrow(run, "_id long, _words string, keys array<long>")
@@ -348,7 +313,7 @@ def shared_weight(held: DataFrame, idf_table) -> DataFrame:
 
     def flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = Idf(*idf_table.value)
-        for batch in batches:
+        for batch in small(batches):
             ids, hashes, values, size = [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, w = weights(text, idf)
@@ -364,7 +329,7 @@ def shared_weight(held: DataFrame, idf_table) -> DataFrame:
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = Idf(*idf_table.value)
-        for batch in batches:
+        for batch in small(batches):
             parts = []
             for text in batch.column(1).to_pylist():
                 h, w = weights(text, idf)
@@ -391,10 +356,11 @@ def similarity_column(a: Column, b: Column, idf_table) -> Column:
     @F.arrow_udf("double")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         idf, out, last = Idf(*idf_table.value), [], (None, None)
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+        for x, y in zip(left, right, strict=True):  # one pair of texts as Python objects at a time
+            x = x.as_py()
             if last[0] != x:
                 last = (x, weights(x, idf))
-            out.append(weighted_jaccard(last[1], weights(y, idf)))
+            out.append(weighted_jaccard(last[1], weights(y.as_py(), idf)))
         return pa.array(out, pa.float64())
 
     return similar(a, b)
@@ -403,16 +369,15 @@ def similarity_column(a: Column, b: Column, idf_table) -> Column:
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 6
 ) -> DataFrame:
-    """One row per input row: id, class_id (the smallest id of its class), links, kept.
+    """One row per input row: id, class_id (the smallest id of its class), kept (is it that one).
 
     A class is a connected component of links: pairs of texts whose weighted Jaccard
-    similarity is at least ``threshold``, or whose word sequences are equal. ``links``
-    counts those links of a text that were verified; they span its class and need
-    not be all. Texts without words (null
-    and empty ones too) are one class. Rows that repeat an identifier share its class
-    (the smallest any of them has), and where their texts differ the first of these
-    in order is the one that is compared; a null identifier is a class of its own and is
-    kept. An empty table gives no rows; other columns are not looked at.
+    similarity is at least ``threshold``, or whose word sequences are equal. Texts
+    without words (null and empty ones too) are one class. Rows that repeat an
+    identifier share its class (the smallest any of them has), and where their texts
+    differ the first of these in order is the one that is compared; a null
+    identifier is a class of its own and is kept. An empty table gives no rows;
+    other columns are not looked at.
     """
     spark = df.sparkSession
     docs = id_and_text(df, id_col, text_col)
@@ -450,10 +415,11 @@ def near_duplicates(
     largest = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", "top")
     open_ = materialise(told.join(largest, ["key"]), "open")
     if not open_.isEmpty():
-        held = texts_of(held, open_.select("rep"), "open-texts")
-        share = materialise(shared_weight(held, table), "shared").filter(F.col("shared") >= threshold * F.col("total") * (1 - 1e-9))
+        open_texts = texts_of(held, open_.select("rep"), "open-texts")
+        share = materialise(shared_weight(open_texts, table), "shared")
+        may_link = share.filter(F.col("shared") >= threshold * F.col("total") * (1 - 1e-9))
         keys = open_.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # one per band at most
-        able = open_.join(share.hint("merge"), F.col("rep") == F.col("_id")).join(keys.hint("merge"), "rep")
+        able = open_.join(may_link.hint("merge"), F.col("rep") == F.col("_id")).join(keys.hint("merge"), "rep")
         fields = ("rep", "root", "shared", "total", "parts", "keys")
         minor = able.filter("root <> top").select("key", *[F.col(c).alias(f"x_{c}") for c in fields])
         other = able.select("key", *[F.col(c).alias(f"y_{c}") for c in fields])
@@ -468,18 +434,24 @@ def near_duplicates(
         more = minor.join(other, may).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
         more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            links = materialise(links.unionByName(verified(more, held)), "all-links")
-            roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    classes = copies.select("_words", "rep").join(roots, F.col("rep") == F.col("node"), "left").drop("node")
-    classes = classes.join(degree, F.col("rep") == F.col("node"), "left").select("_words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = known.select("_id", "_words").join(classes, "_words").select(F.col("_id").alias(id_col), "class_id", "links", (F.col("_id") == F.col("class_id")).alias("kept"))
-    alone = signed.filter("_id is null").select(F.col("_id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept"))
+            found = materialise(verified(more, open_texts), "verified")
+            old, roots = roots, components(links.unionByName(found))
+            drop_tables(found, old)
+        drop_tables(open_texts, share, more)
+    drop_tables(members, pairs, held, links, open_)
+    classes = copies.select("_words", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("_words", F.coalesce("root", "rep").alias("class_id"))
+    out = known.select("_id", "_words").join(classes, "_words").select(F.col("_id").alias(id_col), "class_id", (F.col("_id") == F.col("class_id")).alias("kept"))
+    alone = signed.filter("_id is null").select(F.col("_id").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay, one document of each class, with all their columns."""
+    """The rows of ``df`` that stay, one document of each class (that of the smallest id), with all their columns.
+
+    Texts that are null, empty or without words are one class; rows that repeat the
+    staying identifier all stay; rows without an identifier stay. An empty table
+    gives no rows.
+    """
     found = near_duplicates(df, id_col, text_col, threshold)
     gone = found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct().hint("merge")
     return df.join(gone, column_of(df, id_col).cast("long") == F.col("_gone"), "left_anti")

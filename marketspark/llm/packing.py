@@ -113,7 +113,7 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 class ByteBpe:
     """ids as the tokenizers library gives them; of words met again the ids are known, in a table of bounded bytes."""
 
-    def __init__(self, path: str, table_bytes: int = 10 << 20):
+    def __init__(self, path: str, table_bytes: int = 16 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
