@@ -1,12 +1,14 @@
 """Exact deduplication by a tree-merge of sorted digest runs, in SQL functions only.
 
-Every input partition is a run: its texts' digests, each with the identifier that
-stays and a count. Runs then meet in binomial rounds: in round k the runs whose
-numbers agree but for their lowest ``k * fan_in_bits`` bits are merged, until one
-is left. Every level keeps the extreme identifier a digest has, and a level's
-output is spread by (run, digest), so that no task ever holds a whole run and a
-digest with a third of all rows is one row for each run after the first,
-map-side, merge.
+Every input partition is a run: its texts' digests in order, each once, with the
+identifier that stays and a count. Runs then meet in binomial rounds: in round k
+the runs whose numbers agree but for their lowest ``k * fan_in_bits`` bits are
+exchanged, their sorted entries are merged, and the first entry of each digest, that
+of the extreme identifier, stays with the sum of the counts; until one run is left.
+A round deals its runs out by (run, digest), so a task merges a part of every run
+in the order of digests and never holds a run. A digest with a third of all rows is
+one entry in each run after the first, map-side, count, so ``2**fan_in_bits``
+entries of it meet at most.
 
 "Verified": a digest alone doesn't decide. SHA-256, the length in bytes and a
 second, independent 64-bit hash must all agree, at every level.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.llm.common import column_of, free_name, id_and_text, materialise
@@ -54,15 +56,16 @@ def tree_merge(runs: DataFrame, n_runs: int, keep: str = "smallest", fan_in_bits
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    best = F.min if keep == "smallest" else F.max
+    best, last = (F.min, False) if keep == "smallest" else (F.max, True)
     level = runs.groupBy("_run", *KEYS).agg(best("_id").alias("_keep"), F.count("*").alias("_n"))
     rounds = max(1, math.ceil(math.log2(max(2, n_runs)) / fan_in_bits))
     for _ in range(rounds):
-        level = (
-            level.withColumn("_run", F.shiftright("_run", fan_in_bits))
-            .groupBy("_run", *KEYS)
-            .agg(best("_keep").alias("_keep"), F.sum("_n").alias("_n"))
-        )
+        # sorted by (run, digest, identifier), nulls behind all others: the first entry of a digest is the one that stays
+        entries = Window.partitionBy("_run", *KEYS).orderBy(F.desc_nulls_last("_keep") if last else F.asc_nulls_last("_keep"))
+        all_ = entries.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        merged = level.withColumn("_run", F.shiftright("_run", fan_in_bits))
+        merged = merged.withColumns({"_place": F.row_number().over(entries), "_all": F.sum("_n").over(all_)})
+        level = merged.filter("_place = 1").select("_run", *KEYS, "_keep", F.col("_all").alias("_n"))
     return level.select(*KEYS, "_keep", "_n")
 
 
@@ -90,7 +93,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, and one row per distinct text.
 
-    Of rows that repeat the staying identifier and its text, one stays.
+    Null text counts as the empty text. Of rows that repeat the staying identifier
+    and its text, one stays; a text that only rows without an identifier hold keeps
+    one of these. An empty table gives no rows.
     """
     runs = materialise(digest_runs(df, id_col, text_col), "digests")
     top = runs.agg(F.max("_run")).first()[0]
@@ -101,8 +106,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     right = stay.select(F.col("_sha").alias("_s"), F.col("_keep").alias("_k"))
     kept = tagged.join(right, (F.col(sha) == F.col("_s")) & F.col(key).eqNullSafe(F.col("_k")), "left_semi")
     # a repeated (identifier, text) row: few, and found without a window over texts
-    copies = runs.groupBy("_id", "_sha").count().filter("count > 1").select(F.col("_id").alias("_k"), F.col("_sha").alias("_s"))
+    copies = runs.groupBy("_id", "_sha").count().filter("count > 1")
     if copies.isEmpty():
         return kept.drop(sha, key)
-    once = kept.dropDuplicates([sha, key])
-    return once.drop(sha, key)
+    return kept.dropDuplicates([sha, key]).drop(sha, key)
