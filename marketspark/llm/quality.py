@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import column_of, free_name, id_and_text
+from marketspark.llm.common import column_of, free_name, id_and_text, small
 
 STATS = [
     "log_bytes",
@@ -66,7 +66,7 @@ def statistics(text: str) -> tuple[float, ...]:
     bangs, bars = data.count(b"!"), data.count(b"|")
     repeats = sum(map(str.__eq__, words, words[1:]))
     upper_lines, worst = 0, 0.0
-    if upper > 0.2 * size:
+    if upper:
         upper_lines = sum(len(x) for x in lines if x.isupper())
     if symbols + bangs + bars:
         for line in lines:
@@ -106,7 +106,8 @@ def statistics_column(text: Column) -> Column:
 
     @F.arrow_udf("struct<" + ",".join(f"{n}:double" for n in STATS) + ">")
     def stats(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(_stats_batch(texts.to_pylist()), names=STATS)
+        parts = [pa.StructArray.from_arrays(_stats_batch(part.column(0).to_pylist()), names=STATS) for part in small([pa.RecordBatch.from_arrays([texts], names=["t"])])]
+        return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays(_stats_batch([]), names=STATS)
 
     return stats.asNondeterministic()(text)
 
@@ -115,7 +116,7 @@ def statistics_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, STATS...) per row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *_stats_batch(batch.column(1).to_pylist())], names=["_id", *STATS])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "_id long, " + ", ".join(f"{n} double" for n in STATS))
@@ -231,12 +232,15 @@ def lasso_logistic(on: np.ndarray, y: np.ndarray, penalty: float, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.0005, most_rules: int = 400) -> RuleModel:
-    """A model of labels ``y`` (0 or 1). Without both labels: their mean for every text, 0.5 without any."""
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.0005) -> RuleModel:
+    """A model of labels ``y`` (0 or 1); every path of every tree is a rule that the lasso may take.
+
+    Without both labels: their mean for every text, 0.5 without any.
+    """
     if len(y) == 0 or y.min() == y.max():
         mean = (y.sum() + 0.5) / (len(y) + 1)
         return RuleModel((), (), float(math.log(mean / (1 - mean))))
-    rules = boosted_rules(x, y, trees, depth)[:most_rules]
+    rules = boosted_rules(x, y, trees, depth)
     on = np.stack([r.on(x) for r in rules], axis=1) if rules else np.zeros((len(y), 0), bool)
     _, first = np.unique(on, axis=1, return_index=True)  # of rules that hold on the same rows, one
     rules, on = [rules[i] for i in sorted(first)], on[:, sorted(first)]
@@ -257,12 +261,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 12_000, **options) -> RuleModel:
-    """Fits the rules on at most ``most_rows`` labelled documents, those with the smallest hashes of their ids."""
+    """Fits the rules on at most ``most_rows`` labelled documents, those with the smallest hashes of their ids.
+
+    Rows of ``labels`` without an id or with a label that isn't 0 or 1 don't count; of an
+    id with both labels, 1 counts. Null text is the empty text; of rows that repeat an
+    id with different texts, the one with the least statistics, compared in order of
+    STATS, counts, so the model is the same at every run. Without labelled documents
+    the model gives 0.5 for every text. Other columns are not looked at.
+    """
     sample = labelled(labels, id_col, label_col).orderBy(F.xxhash64("_id"), "_id").limit(most_rows).collect()
     spark = df.sparkSession
     chosen = spark.createDataFrame([(r["_id"], r["_y"]) for r in sample], "_key long, _y double")
     texts = id_and_text(df, id_col, text_col).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))  # most_rows rows
-    stats = statistics_rows(texts.select("_id", "_text"), "_id", "_text").groupBy("_id").agg(*[F.first(n).alias(n) for n in STATS]).collect()
+    stats = statistics_rows(texts.select("_id", "_text"), "_id", "_text").groupBy("_id").agg(F.min(F.struct(*STATS)).alias("s")).select("_id", "s.*").collect()
     y_of = {r["_id"]: r["_y"] for r in sample}
     stats.sort(key=lambda r: r["_id"])
     x = np.array([[r[n] for n in STATS] for r in stats], float).reshape(-1, len(STATS))
@@ -283,7 +294,12 @@ def score_documents(df: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
 
 def keep_good(df: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``df`` whose text scores at least ``threshold``, with all their columns."""
+    """The rows of ``df`` whose text scores at least ``threshold``, with all their columns.
+
+    Null text is the empty text and is judged by its score like any other; rows that
+    repeat an identifier, and rows without one, are judged each. An empty table gives no
+    rows. A column that is called like the one made here meanwhile stays as it is.
+    """
     stats = free_name(df, "_stats")
     scored = df.withColumn(stats, statistics_column(column_of(df, text_col).cast("string")))
     return scored.filter(model.column(lambda n: F.col(f"{stats}.{n}")) >= threshold).drop(stats)
