@@ -7,7 +7,7 @@ either side). One strict term, or ``soft_needed`` distinct soft terms, block.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -119,6 +119,15 @@ _ARROW = pa.schema(
 )
 
 
+def verdict_of(policy: UrlPolicy, count: TermCounter, url: str | None) -> tuple[str, str, str | None, str, list[str], list[str]]:
+    """(host, path, rule, verdict, strict terms, soft terms) of one url."""
+    host, path = split_url(url)
+    rule = policy.rule_for(host, path)
+    strict, soft = count(host + path.translate(_ASCII_LOWER))
+    block = rule.verdict == "block" if rule else bool(strict) or len(soft) >= policy.soft_needed
+    return host, path, rule.target if rule else None, "block" if block else "allow", strict, soft
+
+
 def judge_urls(df: DataFrame, policy: UrlPolicy, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, strict_terms, soft_terms.
 
@@ -133,11 +142,7 @@ def judge_urls(df: DataFrame, policy: UrlPolicy, id_col: str = "page_id", url_co
         for batch in batches:
             out = {n: [] for n in _ARROW.names}
             for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                rule = policy.rule_for(host, path)
-                strict, soft = count(host + path.translate(_ASCII_LOWER))
-                block = rule.verdict == "block" if rule else bool(strict) or len(soft) >= policy.soft_needed
-                for name, value in zip(_ARROW.names, (host, path, rule.target if rule else None, "block" if block else "allow", strict, soft), strict=True):
+                for name, value in zip(_ARROW.names, verdict_of(policy, count, url), strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], f.type) for n, f in zip(_ARROW.names, _ARROW, strict=True))], names=["_id", *_ARROW.names])
 
@@ -146,20 +151,16 @@ def judge_urls(df: DataFrame, policy: UrlPolicy, id_col: str = "page_id", url_co
 
 
 def allowed_pages(df: DataFrame, policy: UrlPolicy, url_col: str = "url") -> DataFrame:
-    """The rows of ``df`` whose url is allowed, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("boolean")
-    def passes(urls):
-        count = TermCounter(policy)
+    """The rows of ``df`` whose url is allowed, with all their columns.
 
-        def one(url):
-            host, path = split_url(url)
-            if rule := policy.rule_for(host, path):
-                return rule.verdict == "allow"
-            strict, soft = count(host + path.translate(_ASCII_LOWER))
-            return not strict and len(soft) < policy.soft_needed
+    Null urls and urls without ``://`` are allowed; repeated rows are judged each; an
+    empty table gives no rows. One pass over the urls alone, with no shuffle.
+    """
 
-        return urls.map(lambda u: one(u if isinstance(u, str) else None)).astype(bool)
+    @F.arrow_udf("boolean")
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = TermCounter(policy)
+        for urls in batches:
+            yield pa.array([verdict_of(policy, count, url)[3] == "allow" for url in urls.to_pylist()], pa.bool_())
 
-    return df.filter(passes(F.col(url_col)))
+    return df.filter(passes(column_of(df, url_col).cast("string")))
