@@ -2,12 +2,12 @@
 
 Rows of equal texts are a group. Groups are gathered, by their hash, into a fixed
 number of cells; a group that alone holds more than one part in ``shards * 64`` of
-all bytes, tokens or rows (there are at most ``3 * shards * 64`` such) gets cells of
-its own. The driver sees these cells only, whatever the size of the corpus. A group
-with own cells is placed whole, but for one beyond an eighth of a shard, which is
-cut. What is placed goes in order of falling size, each into the shard where the
-dot product with the shard's residual capacity is highest, among those with room.
-Exchanges between the largest and the smallest shard then even their bytes out.
+all bytes, tokens or rows (there are at most ``3 * shards * 64`` such) is placed by
+itself. The driver sees these only, whatever the size of the corpus. They go in
+order of falling size, each into the shard where the dot product with the shard's
+residual capacity is highest, among those with room. A group stays whole unless it
+is larger than a whole shard, which no placement can keep near equal: such a one is
+cut into pieces of an eighth of a shard.
 """
 
 from __future__ import annotations
@@ -23,7 +23,11 @@ GROUP = ["_hash", "_crc", "_size"]
 
 
 def pack_vectors(loads: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item; ``loads`` has a row per item and a column per quantity."""
+    """The shard of each item; ``loads`` has a row per item and a column per quantity.
+
+    An item goes among the shards with room for all its quantities; if there are
+    none, among those with room for the first; if none, where most of that is left.
+    """
     total = loads.sum(axis=0)
     share = loads / np.where(total > 0, total, 1)
     room = np.full((shards, loads.shape[1]), 1 / shards)
@@ -36,58 +40,19 @@ def pack_vectors(loads: np.ndarray, shards: int) -> np.ndarray:
         if fits.any():
             best = int(np.argmax(np.where(fits, room @ item, -np.inf)))
         else:
-            best = int(np.argmax(room[:, 0]))  # no room for its bytes: where most is left
+            best = int(np.argmax(room[:, 0]))
         out[i] = best
         room[best] -= item
-    return even_out(loads, out, shards)
-
-
-def even_out(loads: np.ndarray, where: np.ndarray, shards: int, rounds: int = 4000, close: float = 0.001) -> np.ndarray:
-    """Swaps or moves items between the largest and the smallest shard until their bytes are ``close`` (a share of the mean).
-
-    Of the exchanges that would even the two out, one that changes the other
-    quantities least is taken.
-    """
-    if len(loads) == 0 or shards < 2:
-        return where
-    where, size, rest = where.copy(), loads[:, 0], loads[:, 1:]
-    total = np.bincount(where, size, shards)
-    scale = np.maximum(rest.sum(axis=0) / shards, 1)
-    for _ in range(rounds):
-        high, low = int(total.argmax()), int(total.argmin())
-        gap = total[high] - total[low]
-        if gap <= close * total.mean():
-            break
-        a, b = np.flatnonzero(where == high), np.flatnonzero(where == low)
-        b = b[np.argsort(size[b], kind="stable")]
-        # for each item of the large shard: itself alone, or the partner that is smaller by about half the gap
-        at = np.searchsorted(size[b], size[a] - gap / 2)
-        pairs = [(a, np.full(len(a), -1))]
-        for shift in (-2, -1, 0, 1):
-            j = at + shift
-            ok = (j >= 0) & (j < len(b))
-            pairs.append((a[ok], b[j[ok]]))
-        x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        moved = size[x] - np.where(y >= 0, size[y], 0)
-        shift = np.abs(rest[x] - np.where(y[:, None] >= 0, rest[y], 0)) / scale
-        cost = np.where((moved > 0) & (moved < gap), np.abs(moved - gap / 2) / gap + shift.max(axis=1) if rest.shape[1] else 0, np.inf)
-        if not len(cost) or not np.isfinite(best := cost.min()) or best >= 1:
-            break
-        i = int(cost.argmin())
-        where[x[i]] = low
-        if y[i] >= 0:
-            where[y[i]] = high
-        total[high] -= moved[i]
-        total[low] += moved[i]
-    return where
+    return out
 
 
 def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", items: int | None = None) -> DataFrame:
     """Per row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``: sizes (UTF-8 bytes of the text plus 16) are near equal,
-    with tokens (runs of non-space) and rows balanced as far as that allows. Slots
-    are gapless from 0 in each shard. Null text has no bytes. Rows that repeat an
+    with tokens (runs of non-space) and rows balanced as far as that allows. Equal
+    texts share a shard, unless they are more than one shard holds. Slots are
+    gapless from 0 in each shard. Null text has no bytes. Rows that repeat an
     identifier or text are rows like any other. ``grown_shard`` is null under this
     law. An empty table gives no rows; other columns are not looked at.
     """
@@ -114,13 +79,13 @@ def shard_documents(df: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         slim.groupBy(*GROUP)
         .agg(*loads)
         .withColumn("_cuts", F.least(F.col("rows"), F.ceil(F.greatest(*shares) * cells)))
-        .withColumn("_pieces", F.least(F.col("_cuts"), F.ceil(F.greatest(*shares) * (shards * 8))))
+        .withColumn("_pieces", F.when(F.greatest(*shares) * shards > 1, F.least(F.col("_cuts"), F.ceil(F.greatest(*shares) * (shards * 8)))).otherwise(F.lit(1)))
         .filter("_cuts > 1")
         .select(*GROUP, "_cuts", "_pieces")
         .collect()
     )
     assert len(heavy) <= 3 * cells
-    # whole: cell -> what is placed; an own cell's group is one piece, or several of at most an eighth of a shard
+    # whole: cell -> what is placed; an own group is one piece, or several of about an eighth of a shard
     base, table, whole = items, [], {}
     for r in sorted(heavy, key=lambda r: tuple(r)):
         cuts, pieces = int(r["_cuts"]), int(r["_pieces"])

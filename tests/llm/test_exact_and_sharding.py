@@ -34,6 +34,17 @@ def test_exact_dedup_is_native(make, hard):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_runs_are_merged_in_order(make):
+    """Each round sorts and takes the first entry of a digest; nothing but the first count hashes."""
+    rows = [(i, f"text {i % 40}") for i in range(400)]
+    runs = exact_dedup.digest_runs(make(rows).repartition(9), "doc_id", "text")
+    merged = exact_dedup.tree_merge(runs, 9, "smallest", 2)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") == 2 and plan.count("HashAggregate") == 2 and plan.count("Sort [") == 2
+    got = merged.collect()
+    assert sorted((r["_keep"], r["_n"]) for r in got) == [(i, 10) for i in range(40)]
+
+
 def test_drop_copies_keeps_one_row_of_each_text(make, hard):
     df = make(hard)
     got = exact_dedup.drop_copies(df, keep="largest")
@@ -74,10 +85,35 @@ def test_sizes_are_near_equal_despite_a_hot_group(make):
     assert n.max() / n.mean() < 1.15
 
 
-def test_equal_texts_stay_together_unless_their_group_is_large(make):
+def test_equal_texts_stay_together_unless_they_exceed_a_shard(make):
     rows = [(i, f"text number {i // 4} " * 5) for i in range(2000)]
+    rows += [(5000 + i, "a large group, but smaller than a shard") for i in range(600)]
+    rows += [(9000 + i, "larger than a shard") for i in range(3000)]
     got = sharding.shard_documents(make(rows), 4).toPandas()
-    assert (got.groupby(got.doc_id // 4)["shard"].nunique() == 1).all()
+    apart = got.groupby(got.text_crc32)["shard"].nunique()
+    assert (apart == 1).sum() == 501 and apart.max() > 1
+    by = got.groupby("shard")["size"].sum()
+    assert by.max() / by.mean() < 1.02 and by.min() / by.mean() > 0.98
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_vector_packing_equals_brute_force(seed):
+    import random
+
+    r = random.Random(seed)
+    shards, loads = r.choice([2, 3, 5]), np.array([[r.randint(0, 9) for _ in range(3)] for _ in range(r.randrange(1, 60))], float)
+    total = [sum(x[k] for x in loads.tolist()) or 1 for k in range(3)]
+    items = [[x[k] / total[k] for k in range(3)] for x in loads.tolist()]
+    room, want = [[1 / shards] * 3 for _ in range(shards)], [None] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: -max(items[i])):
+        x = items[i]
+        some = [s for s in range(shards) if all(room[s][k] >= x[k] - 1e-12 for k in range(3))]
+        some = some or [s for s in range(shards) if room[s][0] >= x[0] - 1e-12]
+        want[i] = (some, [sum(room[s][k] * x[k] for k in range(3)) if some else room[s][0] for s in range(shards)])
+        best = max(some or range(shards), key=lambda s: (want[i][1][s], -s))
+        got = int(sharding.pack_vectors(loads, shards)[i])
+        assert want[i][1][got] >= want[i][1][best] - 1e-12 and (not some or got in some)
+        room[got] = [room[got][k] - x[k] for k in range(3)]
 
 
 def test_vector_packing_by_hand():
