@@ -42,10 +42,49 @@ def test_next_documents_equal_brute_force(make, hard):
             half = len(t) // 2
             e = t[: len(t) - half] + n[:half]
             f, g, h = (merkle.fingerprint(x) for x in (t, e, n))
-            want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, merkle.likeness(f, g), merkle.likeness(f, h))] += 1
+            spans = merkle.differing_spans(f, g)
+            want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, merkle.likeness(f, g), merkle.likeness(f, h), *((spans[0][0], spans[-1][1]) if spans else (None, None)))] += 1
         assert Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_differing_branches_cover_every_edit(seed):
+    """All characters outside the spans are found in the other text in the same order; edits are inside."""
+    import random
+
+    r = random.Random(seed)
+    lines = [r.choice(["", "same line.", prose(r.randrange(99), r.randrange(1, 60)) + r.choice([".", "", "! And on"])]) for _ in range(r.randrange(1, 60))]
+    other = list(lines)
+    for _ in range(r.randrange(1, 5)):
+        at = r.randrange(len(other) + 1)
+        r.choice([lambda: other.insert(at, f"new {seed}."), lambda: other.pop(at - 1) if len(other) > 1 else None, lambda: other.__setitem__(at - 1, other[at - 1] + " edited")])()
+    a, b = "\n".join(lines), "\n".join(other)
+    spans = merkle.differing_spans(merkle.fingerprint(a), merkle.fingerprint(b))
+    assert bool(spans) == (a != b)
+    at = here = 0
+    for start, end in [*spans, (len(a), len(a))]:
+        for kept in a[at:start].split("\n"):
+            found = b.find(kept, here)
+            assert found >= 0, (seed, kept)
+            here = found
+        at = max(at, end)
+
+
+def test_a_node_stands_for_its_branch():
+    parts = merkle.fingerprint(TEXT).partition("/")[2].split(";")
+    sizes = [int(x.partition("=")[0].rpartition(":")[2]) for x in parts]
+    assert sum(sizes) + len(sizes) - 1 == len(TEXT) and len(parts) > 2
+    changed = merkle.fingerprint(TEXT + "!").partition("/")[2].split(";")
+    assert [x.partition("=")[0] for x in changed][:-1] == [x.partition("=")[0] for x in parts][:-1]
+
+
+def test_an_edit_of_the_last_half_is_located(make):
+    text = "\n".join(prose(i, 12) + "." for i in range(60))
+    got = {r.doc_id: r for r in merkle.compare_with_next(make([(2, text), (1, prose(1000, 900))])).collect()}
+    half = len(text) - len(text) // 2
+    assert half - 300 < got[2].edited_from <= half and got[2].edited_to == len(text)
+
+
 def test_fingerprints_of_few_rows(make):
     assert merkle.compare_with_next(make([])).count() == 0 and merkle.fingerprints(make([])).count() == 0
     one = merkle.compare_with_next(make([(1, "abcd")])).first()
