@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import column_of, materialise
+from marketspark.llm.common import column_of, drop_tables, materialise, small
 
 MARK = re.compile(r"^\s{0,3}((?:>\s?)+)")
 #: Ends of a line that introduces a quote, in the corpus's four languages.
@@ -121,7 +121,7 @@ def parse_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, t
     quoted_type = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             own, cuts, quoted = [], [], []
             for text in batch.column(3).to_pylist():
                 mine, passages, at = parse_parts(text)
@@ -150,7 +150,7 @@ def unit_rows(texts: DataFrame) -> DataFrame:
     """One row per unit of each row (conv, turn, level, passage, text, cuts)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for *key, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out += [(*key, h, n) for h, n in units(text, cuts or ()).items()]
@@ -185,7 +185,7 @@ def latest_before(asks: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:
-    """(conv, turn, parent) of every message with a linked quote.
+    """(conv, turn, parent) of every message with a linked quote; messages without a turn have none.
 
     Only units that are quoted at all are looked up, so a conversation of any
     length meets its few quotes, not itself; where nothing is quoted, no text is
@@ -212,7 +212,8 @@ def roots_of(links: DataFrame) -> DataFrame:
         step = now.join(up, ["conv", "root"], "left")
         if step.filter("_above is not null").isEmpty():
             return now
-        now = materialise(step.select("conv", "turn", F.coalesce("_above", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "quote-roots")
+        last, now = now, materialise(step.select("conv", "turn", F.coalesce("_above", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")), "quote-roots")
+        drop_tables(last)
 
 
 def ranked(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -245,7 +246,7 @@ def linked_messages(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows; other columns are not looked at.
     """
     parsed = materialise(parse_messages(df, conv_col, turn_col, role_col, text_col), "messages")
-    parsed = parsed.withColumn("conv", F.coalesce("conv", F.lit("\0")))
+    parsed = parsed.withColumn("conv", F.coalesce(F.concat(F.lit("="), "conv"), F.lit("")))  # only the null conversation has an empty key
     links = link_quotes(parsed)
     roots = roots_of(links)
     found = links.join(roots, ["conv", "turn"])
@@ -260,13 +261,14 @@ def linked_messages(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.size("quoted").cast("long").alias("quotes"),
     )
     out = ranked(rows, "conv", ["root_turn", "turn", "text", "role"], "position")
-    return out.withColumn("conv", F.when(F.col("conv") != "\0", F.col("conv")))
+    return out.withColumn("conv", F.when(F.col("conv") != "", F.substring("conv", 2, 2**31 - 1)))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """(conv, messages array<struct<position, role, text, parent_turn>>) in reply order.
+    """(conv, messages array<struct<position, role, text, parent_turn>>) in reply order, of what ``linked_messages`` gives.
 
-    For conversations that fit in a row; ``linked_messages`` is the form for any size.
+    For conversations that fit in a row; ``linked_messages`` is the form for any
+    size. The null conversation is one row; an empty table gives none.
     """
     row = F.struct("position", "role", "text", "parent_turn")
     return messages.groupBy("conv").agg(F.array_sort(F.collect_list(row)).alias("messages"))
