@@ -81,16 +81,23 @@ def mark_divergence(mark: Num, close: Num) -> Column:
     return ratio(c(mark) - c(close), close)
 
 
+def exact(x: Num) -> Column:
+    """As DECIMAL(20,8); NULL for what doesn't fit."""
+    return c(x).try_cast("decimal(20,8)")
+
+
 def floor_to(quantity: Num, step: Num) -> Column:
-    """Whole steps below; 0 for what isn't positive."""
-    return F.when(c(quantity) <= 0, c(quantity) * 0).otherwise(F.floor(c(quantity) / c(step)) * c(step))
+    """Whole steps below, counted in decimals; 0 for what isn't positive."""
+    steps = F.floor(exact(quantity) / exact(step)).cast("decimal(20,0)")
+    return F.when(c(quantity) <= 0, F.lit(0.0)).otherwise((steps * exact(step)).cast("double"))
 
 
 def round_to_tick(price: Num, tick: Num, is_buy: Column, order_type: Num) -> Column:
     """Against the trader for market and stop orders, in favour of the limit for limit orders."""
     up = is_buy != (c(order_type) == F.lit("limit"))
-    ticks = c(price) / c(tick)
-    return F.when(up, F.ceil(ticks)).otherwise(F.floor(ticks)) * c(tick)
+    ticks = exact(price) / exact(tick)
+    whole = F.when(up, F.ceil(ticks)).otherwise(F.floor(ticks)).cast("decimal(20,0)")
+    return (whole * exact(tick)).cast("double")
 
 
 def clamp01(x: Num) -> Column:

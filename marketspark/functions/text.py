@@ -94,6 +94,25 @@ def redacted(settings: Num) -> Column:
     return F.transform_values(c(settings), lambda k, v: F.when(k.rlike(pattern), "***").otherwise(v))
 
 
+def json_safe(df, column: str) -> Column:
+    """A column as JSON: NaN and infinities are null at any depth, missing fields are told as null."""
+
+    def safe(x: Column, kind) -> Column:
+        name = kind.typeName()
+        if name in ("double", "float"):
+            return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+        if name == "struct":
+            fields = F.struct(*[safe(x[f.name], f.dataType).alias(f.name) for f in kind.fields])
+            return F.when(x.isNotNull(), fields)
+        if name == "array":
+            return F.transform(x, lambda v: safe(v, kind.elementType))
+        if name == "map":
+            return F.transform_values(x, lambda _, v: safe(v, kind.valueType))
+        return x
+
+    return F.to_json(safe(F.col(column), df.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
 def is_subset(a: Num, b: Num) -> Column:
     return F.size(F.array_except(c(a), c(b))) == 0
 

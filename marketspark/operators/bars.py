@@ -66,19 +66,21 @@ def gaps(df: DataFrame, seconds: int) -> DataFrame:
 
 
 def gap_counts(df: DataFrame, seconds: int) -> DataFrame:
-    """Per symbol: bars, expected, missing, longest gap in bars; from neighbours alone, without a grid."""
-    by = Window.partitionBy("symbol").orderBy("timestamp")
-    step = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.lag("timestamp").over(by).cast("timestamp"))) / (seconds * 1_000_000)
-    return (
-        df.withColumn("_steps", step)
-        .groupBy("symbol")
-        .agg(
-            F.count("*").alias("bars"),
-            (F.coalesce(F.sum("_steps"), F.lit(0)) + 1).cast("long").alias("expected"),
-            F.coalesce(F.sum(F.col("_steps") - 1), F.lit(0)).cast("long").alias("missing"),
-            F.coalesce(F.max(F.col("_steps") - 1), F.lit(0)).cast("long").alias("longest_gap"),
-        )
-    )
+    """Per symbol: bars, expected, missing, longest gap in bars, against the grid from its first bar to its last.
+
+    No grid is built: a bar's place on it is its distance from the first. Bars off
+    the grid and repeated ones count as bars, but fill no place.
+    """
+    first = df.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_b"))
+    micros = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+    width = F.lit(seconds * 1_000_000)
+    placed = df.select("symbol", "timestamp").join(first.select("symbol", "_a"), "symbol").withColumn("_d", micros("timestamp") - micros("_a"))
+    placed = placed.filter(F.pmod("_d", width) == 0).select("symbol", F.floor(F.col("_d") / width).alias("_place")).distinct()
+    step = F.col("_place") - F.lag("_place").over(Window.partitionBy("symbol").orderBy("_place"))
+    got = placed.withColumn("_step", step).groupBy("symbol").agg(F.count("*").alias("_here"), F.max("_place").alias("_end"), F.coalesce(F.max(F.col("_step") - 1), F.lit(0)).alias("_gap"))
+    got = got.join(first, "symbol").withColumn("expected", (F.floor((micros("_b") - micros("_a")) / width) + 1).cast("long"))
+    longest = F.greatest(F.col("_gap"), F.col("expected") - 1 - F.col("_end"))
+    return got.select("symbol", "bars", "expected", (F.col("expected") - F.col("_here")).cast("long").alias("missing"), longest.cast("long").alias("longest_gap"))
 
 
 def session_grid(sessions: DataFrame, minutes: int) -> DataFrame:
@@ -92,15 +94,23 @@ def in_session(df: DataFrame, sessions: DataFrame, minutes: int) -> DataFrame:
     return df.join(session_grid(sessions, minutes).select("timestamp"), "timestamp", "left_semi")
 
 
-def with_session(df: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Bars with the session they end in: open < timestamp <= close; bars outside any go.
+def with_session(df: DataFrame, sessions: DataFrame, outside: str = "fail") -> DataFrame:
+    """Bars with the session they end in: open < timestamp <= close.
 
-    An equality on the date keeps this a hash join. Sessions lie within a UTC date.
+    A bar outside any session is an error, or with ``outside="drop"`` it goes. An
+    equality on the dates that a session touches keeps this a hash join.
     """
-    day = F.to_date(F.col("timestamp") - F.expr("INTERVAL 1 MICROSECOND"))
-    keyed = sessions.withColumn("_day", F.to_date("market_open"))
-    out = df.withColumn("_day", day).join(keyed, "_day")
-    return out.filter((F.col("timestamp") > F.col("market_open")) & (F.col("timestamp") <= F.col("market_close"))).drop("_day")
+    if outside not in ("fail", "drop"):
+        raise ValueError("outside is 'fail' or 'drop'")
+    before = lambda x: F.col(x) - F.expr("INTERVAL 1 MICROSECOND")
+    keyed = sessions.withColumn("_day", F.explode(F.sequence(F.to_date("market_open"), F.to_date(before("market_close")))))
+    inside = (F.col("timestamp") > F.col("market_open")) & (F.col("timestamp") <= F.col("market_close"))
+    bars = df.withColumn("_at", F.to_date(before("timestamp")))
+    out = bars.join(keyed, (F.col("_at") == F.col("_day")) & inside, "inner" if outside == "drop" else "left").drop("_at", "_day")
+    if outside == "drop":
+        return out
+    told = F.raise_error(F.concat(F.lit("a bar lies outside all sessions: "), F.col("timestamp").cast("string"))).cast("boolean")
+    return out.filter(F.when(F.col("market_open").isNotNull(), True).otherwise(told))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, columns: Sequence[str]) -> DataFrame:

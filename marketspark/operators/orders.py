@@ -87,11 +87,15 @@ STATUS = {"new": "acknowledged", "accepted": "acknowledged", "pending_new": "sub
 
 
 def from_external(orders: DataFrame) -> DataFrame:
-    """External orders as ours: sides, absolute quantities, known statuses, received not before exchange."""
+    """External orders as ours: sides, absolute quantities, known statuses, received not before exchange.
+
+    A status that isn't known is ``unknown``; a side that isn't known is an error.
+    """
+    strange = F.raise_error(F.concat(F.lit("not a side: "), F.coalesce("side", F.lit("null")))).cast("string")
     table = F.create_map(*[F.lit(x) for p in STATUS.items() for x in p])
     return orders.withColumns(
         {
-            "side": F.when(F.lower("side").isin("buy", "long"), "buy").otherwise("sell"),
+            "side": F.when(F.lower("side").isin("buy", "long"), "buy").when(F.lower("side").isin("sell", "short"), "sell").otherwise(strange),
             "quantity": F.abs("quantity"),
             "status": F.coalesce(F.try_element_at(table, F.lower("status")), F.lit("unknown")),
             "received_timestamp": F.greatest("timestamp", "received_timestamp"),

@@ -32,6 +32,7 @@ def repair_ohlc(df: DataFrame, mode: str = "flag", most_bps: float = 1.0) -> Dat
 
 #: The report's errors, in the order they are told.
 ERRORS = (
+    "timestamps without a time zone",
     "invalid timestamps",
     "duplicate timestamps",
     "timestamps out of order",
@@ -43,52 +44,95 @@ ERRORS = (
     "unexplained price jump",
     "missing candles",
 )
+REQUIRED = ("timestamp", "open", "high", "low", "close", "volume")
+REPORT = "symbol string, rows long, missing long, errors array<string>, warnings array<string>, score double, passed boolean"
 
 
-def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: float = 0.20) -> DataFrame:
-    """Per symbol: rows, missing, errors (array), score = max(0, 1 - (errors + missing) / (rows + missing)).
+def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: float = 0.20, grid: DataFrame | None = None, split_adjusted: bool = True) -> DataFrame:
+    """Per symbol: rows, missing, errors (array), warnings (array), score = max(0, 1 - (errors + missing) / (rows + missing)), passed.
 
     Each error counts once. ``arrival`` numbers the rows as they came; jumps beyond
-    ``most_jump`` are excused by ``corporate_action``.
+    ``most_jump`` are excused by ``corporate_action``. A ``timestamp`` of text is
+    parsed, and one without an offset is an error. Missing are the bars of a grid of
+    ``seconds`` from a symbol's first bar to its last that it doesn't have; bars off
+    that grid don't count as any of them. With ``grid`` (``session_grid``'s) it is
+    the grid's bars in that span instead, and data that aren't ``split_adjusted`` get a
+    warning. Without rows, or without one of the columns, the report is one row
+    that says so, for no symbol.
     """
+    lacking = [c for c in REQUIRED if c not in df.columns]
+    if lacking:
+        return _refused(df, f"missing columns: {', '.join(lacking)}")
+    zoneless = F.lit(False)
+    if df.schema["timestamp"].dataType.typeName() == "string":
+        zoneless = F.coalesce(~F.col("timestamp").rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.lit(False))
+        df = df.withColumn("_zoneless", zoneless).withColumn("timestamp", F.try_to_timestamp("timestamp"))
+        zoneless = F.col("_zoneless")
     by_arrival = Window.partitionBy("symbol").orderBy(arrival)
     by_time = Window.partitionBy("symbol").orderBy("timestamp", arrival)
-    action = F.coalesce(F.col("corporate_action"), F.lit(False)) if "corporate_action" in df.columns else F.lit(False)
-    numbers = [F.col(c).try_cast("double") for c in (*PRICES, "volume")]
-    o, h, lo, c, v = numbers
+    action = F.coalesce(F.col("corporate_action").cast("boolean"), F.lit(False)) if "corporate_action" in df.columns else F.lit(False)
+    o, h, lo, c, v = (F.col(x).try_cast("double") for x in (*PRICES, "volume"))
     null = F.coalesce(o + h + lo + c + v, F.lit(float("nan")))
     before = F.lag("timestamp").over(by_time)
-    steps = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / (seconds * 1_000_000)
+    at, first = F.unix_micros(F.col("timestamp").cast("timestamp")), F.unix_micros(F.min("timestamp").over(Window.partitionBy("symbol")).cast("timestamp"))
     flags = df.withColumns(
         {
             "_unordered": F.col("timestamp") < F.lag("timestamp").over(by_arrival),
-            "_steps": steps,
-            "_jump": (F.abs(F.try_divide(c, F.lag(c).over(by_time)) - 1) > most_jump) & ~action,
+            "_again": F.col("timestamp") == before,
+            "_on_grid": F.pmod(at - first, F.lit(seconds * 1_000_000)) == 0,
+            "_jump": (F.abs(F.try_divide(c, F.lag(c).over(by_arrival)) - 1) > most_jump) & ~action,
             "_null": F.isnan(null),
+            "_zone": zoneless,
         }
     )
+    holds = lambda x: F.max(F.coalesce(x, F.lit(False)))
+    span = (F.unix_micros(F.max("timestamp").cast("timestamp")) - F.unix_micros(F.min("timestamp").cast("timestamp"))) / (seconds * 1_000_000)
     got = flags.groupBy("symbol").agg(
         F.count("*").alias("rows"),
-        F.max(F.col("timestamp").isNull()).alias("e0"),
-        F.max(F.coalesce(F.col("_steps") == 0, F.lit(False))).alias("e1"),
-        F.max(F.coalesce("_unordered", F.lit(False))).alias("e2"),
-        F.max("_null").alias("e3"),
-        F.max(F.coalesce(F.least(o, h, lo, c) <= 0, F.lit(False))).alias("e4"),
-        F.max(F.coalesce(v < 0, F.lit(False))).alias("e5"),
-        F.max(F.coalesce(h < lo, F.lit(False))).alias("e6"),
-        F.max(F.coalesce((F.least(o, c) < lo) | (F.greatest(o, c) > h), F.lit(False))).alias("e7"),
-        F.max(F.coalesce("_jump", F.lit(False))).alias("e8"),
-        F.coalesce(F.sum(F.when(F.col("_steps") > 1, F.ceil("_steps") - 1)), F.lit(0)).cast("long").alias("missing"),
+        holds(F.col("_zone")).alias("e0"),
+        F.max(F.col("timestamp").isNull()).alias("e1"),
+        holds(F.col("_again")).alias("e2"),
+        holds(F.col("_unordered")).alias("e3"),
+        F.max("_null").alias("e4"),
+        holds(F.least(o, h, lo, c) <= 0).alias("e5"),
+        holds(v < 0).alias("e6"),
+        holds(h < lo).alias("e7"),
+        holds((F.least(o, c) < lo) | (F.greatest(o, c) > h)).alias("e8"),
+        holds(F.col("_jump")).alias("e9"),
+        F.coalesce(F.floor(span) + 1 - F.count_if(F.col("_on_grid") & ~F.coalesce("_again", F.lit(False))), F.lit(0)).cast("long").alias("missing"),
+        F.min("timestamp").alias("_first"),
+        F.max("timestamp").alias("_last"),
     )
-    got = got.withColumn("e9", F.col("missing") > 0)
+    if grid is not None:
+        expected = grid.select(F.col("timestamp").alias("_at"))
+        absent = got.select("symbol", "_first", "_last").join(F.broadcast(expected), F.col("_at").between(F.col("_first"), F.col("_last")))  # a calendar's bars
+        absent = absent.select("symbol", F.col("_at").alias("timestamp")).join(df.select("symbol", "timestamp"), ["symbol", "timestamp"], "left_anti")
+        got = got.drop("missing").join(absent.groupBy("symbol").agg(F.count("*").alias("missing")), "symbol", "left").fillna(0, ["missing"])
+    got = got.withColumn("e10", F.col("missing") > 0)
     errors = F.array_compact(F.array(*[F.when(F.col(f"e{i}"), F.lit(name)) for i, name in enumerate(ERRORS)]))
-    got = got.withColumn("errors", errors)
+    warnings = F.array(*([F.lit("split adjustment is not told")] if grid is not None and not split_adjusted else [])).cast("array<string>")
+    got = got.withColumns({"errors": errors, "warnings": warnings})
     score = F.greatest(F.lit(0.0), 1 - (F.size("errors") + F.col("missing")) / F.greatest(F.lit(1), F.col("rows") + F.col("missing")))
-    return got.select("symbol", "rows", "missing", "errors", score.alias("score"), (F.size("errors") == 0).alias("passed"))
+    got = got.select("symbol", "rows", "missing", "errors", "warnings", score.alias("score"), (F.size("errors") == 0).alias("passed"))
+    empty = df.agg(F.count("*").alias("n")).filter("n = 0")
+    return got.unionByName(_refused(empty, "no rows", whole=False))
 
 
-def invariants(df: DataFrame) -> DataFrame:
-    """Adds ``violations``: the names of the row's broken rules, for the columns that are there."""
+def _refused(df: DataFrame, why: str, whole: bool = True) -> DataFrame:
+    """The report of data that can't be looked at: one row, or (not ``whole``) one for each row of ``df``."""
+    rows = df.sparkSession.range(1) if whole else df
+    none = F.array().cast("array<string>")
+    return rows.select(F.lit(None).cast("string").alias("symbol"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("missing"), F.array(F.lit(why)).alias("errors"), none.alias("warnings"), F.lit(0.0).alias("score"), F.lit(False).alias("passed"))
+
+
+def invariants(df: DataFrame, mode: str = "flag") -> DataFrame:
+    """Adds ``violations``: the names of the row's broken rules, for the columns that are there.
+
+    A time that is text must name UTC. Mode "drop": rows that break a rule go; "error":
+    the first of them is an error that names its rules.
+    """
+    if mode not in ("flag", "drop", "error"):
+        raise ValueError("mode is 'flag', 'drop' or 'error'")
     has = set(df.columns)
     rules = [
         ({"received_timestamp", "timestamp"}, lambda: F.col("received_timestamp") < F.col("timestamp"), "received before exchange"),
@@ -101,7 +145,16 @@ def invariants(df: DataFrame) -> DataFrame:
         ({"order_type", "stop_price"}, lambda: (F.col("order_type") == "stop") & F.col("stop_price").isNull(), "stop without price"),
     ]
     parts = [F.when(make(), F.lit(name)) for need, make, name in rules if need <= has]
-    return df.withColumn("violations", F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>"))
+    for name in ("timestamp", "received_timestamp"):
+        if name in has and df.schema[name].dataType.typeName() == "string":
+            parts.append(F.when(~F.col(name).rlike(r"(Z|[+-]00:?00)$"), F.lit(f"{name} is not UTC")))
+    out = df.withColumn("violations", F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>"))
+    if mode == "drop":
+        return out.filter(F.size("violations") == 0)
+    if mode == "error":
+        told = F.raise_error(F.concat(F.lit("a row breaks its rules: "), F.array_join("violations", ", "))).cast("array<string>")
+        return out.withColumn("violations", F.when(F.size("violations") == 0, F.col("violations")).otherwise(told))
+    return out
 
 
 def parts_all(df: DataFrame, flags: str = "ok") -> DataFrame:

@@ -11,15 +11,24 @@ from marketspark.config import RangeConfig
 from marketspark.functions import price as P
 
 
+#: The sentences that a reader is told.
+SENTENCES = {
+    "kill_switch": "Kill switch active — new entries blocked",
+    "cooldown": "Cooldown active — %d bars remaining",
+    "regime": "No entry — market regime is ",
+    "near": "No entry — |z| %.2f is below %.2f",
+    "other": "No order — position, session or direction constraints are not satisfied",
+}
+
+
 def waiting_reason(config: RangeConfig) -> Column:
     """Why a bar without a signal has none; reads kill_switch, cooldown_bars, regime and z."""
-    low_z = F.format_string("No entry — |z| %.2f is below %.2f", F.abs("z"), F.lit(config.entry_z))
     return (
-        F.when(F.col("kill_switch"), "Kill switch active — new entries blocked")
-        .when(F.col("cooldown_bars") > 0, F.format_string("Cooldown active — %d bars remaining", F.col("cooldown_bars").cast("int")))
-        .when(F.col("regime") != "range", F.concat(F.lit("No entry — market regime is "), F.replace("regime", F.lit("_"), F.lit(" "))))
-        .when(F.abs("z") < config.entry_z, low_z)
-        .otherwise("No order — position, session or direction constraints are not satisfied")
+        F.when(F.col("kill_switch"), SENTENCES["kill_switch"])
+        .when(F.col("cooldown_bars") > 0, F.format_string(SENTENCES["cooldown"], F.col("cooldown_bars").cast("int")))
+        .when(F.col("regime") != "range", F.concat(F.lit(SENTENCES["regime"]), F.replace("regime", F.lit("_"), F.lit(" "))))
+        .when(F.abs("z") < config.entry_z, F.format_string(SENTENCES["near"], F.abs("z"), F.lit(config.entry_z)))
+        .otherwise(SENTENCES["other"])
     )
 
 

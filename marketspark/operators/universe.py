@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketspark.config import UniverseLimits
 from marketspark.functions import price as P
 from marketspark.functions.text import base_symbol, reasons
+from marketspark.functions.times import hours_between
 
 
 def eligible_contracts(pairs: DataFrame, quote: str = "USDT") -> DataFrame:
@@ -29,10 +30,13 @@ def unambiguous_join(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     return pairs.join(known, "base")
 
 
-def market_quality(bars: DataFrame, as_of: Column, volume_rows: int = 288, z_rows: int = 20, range_rows: int = 14, momentum_rows: int = 12) -> DataFrame:
-    """Per symbol, from its last bars: quote volume, volume z-score, mean range, momentum, hours of history and age.
+def market_quality(bars: DataFrame, volume_rows: int = 288, z_rows: int = 20, range_rows: int = 14, momentum_rows: int = 12) -> DataFrame:
+    """Per symbol, from its last bars: close, quote volume, volume z-score, mean range, momentum, whole hours of history.
 
-    Rows are numbered from the end once; everything else is one aggregation.
+    The z-score compares the last volume with the up to ``z_rows`` before it and is 0
+    where these don't vary; momentum is 0 where there is no bar ``momentum_rows``
+    before the last, or no range. Rows are numbered from the end once; everything
+    else is one aggregation.
     """
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("timestamp")))
     n = bars.withColumn("_i", back)
@@ -43,15 +47,14 @@ def market_quality(bars: DataFrame, as_of: Column, volume_rows: int = 288, z_row
         F.max(upto(1, F.col("volume"))).alias("_last_volume"),
         F.avg(upto(z_rows + 1, F.col("volume"), 2)).alias("_mean"),
         F.stddev_pop(upto(z_rows + 1, F.col("volume"), 2)).alias("_sd"),
-        F.count(upto(z_rows + 1, F.col("volume"), 2)).alias("_n"),
         F.avg(upto(range_rows, F.col("high") - F.col("low"))).alias("mean_range"),
         F.max(upto(1, F.col("close"))).alias("close"),
         F.max(F.when(F.col("_i") == momentum_rows + 1, F.col("close"))).alias("_before"),
         F.min("timestamp").alias("_first"),
         F.max("timestamp").alias("last_timestamp"),
     )
-    hours = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 3_600_000_000
-    z = F.when((F.col("_n") == z_rows) & (F.col("_sd") != 0), (F.col("_last_volume") - F.col("_mean")) / F.col("_sd"))
+    z = F.when(F.col("_sd") > 0, (F.col("_last_volume") - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
+    momentum = F.when(F.col("mean_range") > 0, (F.col("close") - F.coalesce("_before", "close")) / F.col("mean_range")).otherwise(0.0)
     return got.select(
         "symbol",
         "bars",
@@ -59,9 +62,40 @@ def market_quality(bars: DataFrame, as_of: Column, volume_rows: int = 288, z_row
         "close",
         "mean_range",
         z.alias("volume_zscore"),
-        P.ratio(F.col("close") - F.col("_before"), "mean_range").alias("momentum_atr"),
-        hours(F.col("last_timestamp"), F.col("_first")).alias("history_hours"),
-        (hours(as_of, F.col("last_timestamp")) * 3600).alias("age_seconds"),
+        momentum.alias("momentum_atr"),
+        F.floor(hours_between("last_timestamp", "_first")).cast("long").alias("history_hours"),
+        "last_timestamp",
+    )
+
+
+#: The spread of a state that tells none.
+NO_SPREAD = 999_999.0
+
+
+def snapshot_quality(states: DataFrame, bars: DataFrame, as_of: Column, **windows) -> DataFrame:
+    """A quality row for every symbol that both a stream's snapshot and the bars have.
+
+    Reads of ``states`` symbol, generated_at, mark_price, spread_bps,
+    depth_half_percent, funding_rate, funding_interval_hours and, if it is there,
+    quote_volume_24h, which counts before the bars' own volume. What a state doesn't
+    tell: the mark is the close, the spread is too wide for anything, the depth is 0,
+    the funding NULL.
+    """
+    q = market_quality(bars, **windows).join(states, "symbol")
+    told = lambda name: F.when(F.col(name) != 0, F.col(name))  # noqa: E731  0 counts as not told
+    volume = F.coalesce(told("quote_volume_24h"), "quote_volume") if "quote_volume_24h" in states.columns else F.col("quote_volume")
+    age = F.greatest(F.lit(0.0), hours_between(as_of, "generated_at") * 3600)
+    return q.select(
+        "symbol",
+        volume.alias("quote_volume"),
+        F.coalesce(told("spread_bps"), F.lit(NO_SPREAD)).alias("spread_bps"),
+        F.coalesce("depth_half_percent", F.lit(0.0)).alias("depth"),
+        P.mark_divergence(F.coalesce(told("mark_price"), "close"), "close").alias("mark_divergence"),
+        P.funding_per_8h(P.finite("funding_rate"), P.finite("funding_interval_hours")).alias("funding_8h"),
+        "history_hours",
+        "momentum_atr",
+        "volume_zscore",
+        age.alias("age_seconds"),
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
@@ -97,6 +98,38 @@ def _retest(row, watch: Watch, config: MomentumConfig) -> tuple[Decision, Watch]
     return Decision(_enter(sign), "breakout_retest_confirmed", stop, row.close + sign * reward * risk), NOTHING
 
 
+@dataclass(frozen=True)
+class Managed:
+    """What is remembered of a position between bars."""
+
+    entry: float
+    risk: float
+    best: float | None = None
+    one_r_hit: bool = False
+    trailing: float | None = None
+
+
+def manage(row, sign: int, bars_held: int, position: Managed, config: MomentumConfig) -> tuple[Decision, Managed]:
+    """What the strategy says at a bar of a position that is held: exit, reduce at one risk unit, or hold with its stop."""
+    if row.shock:
+        return Decision("exit", "shock_exit"), position
+    if bars_held >= config.time_stop_bars:
+        return Decision("exit", "time_stop"), position
+    if position.risk <= 0:
+        return Decision("exit", "missing_protective_stop"), position
+    farther = max if sign > 0 else min
+    reached = row.high if sign > 0 else row.low
+    best = farther(position.entry if position.best is None else position.best, reached)
+    moved = replace(position, best=best)
+    if not position.one_r_hit:
+        if sign * (reached - position.entry) >= position.risk:
+            return Decision("reduce", "one_r_partial", position.entry), replace(moved, one_r_hit=True, trailing=position.entry)
+        return Decision("hold", "position_managed", position.trailing), moved
+    trail = farther(position.entry, best - sign * config.trailing_atr * row.atr)
+    moved = replace(moved, trailing=farther(position.entry if position.trailing is None else position.trailing, trail))
+    return Decision("hold", "position_managed", moved.trailing), moved
+
+
 def prepared(features: DataFrame, config: MomentumConfig) -> DataFrame:
     """Adds warming, shock, momentum_regime and regime to the momentum features."""
     from marketspark.operators.regime import any_missing, coarse_regime, is_shock, momentum_regime
@@ -168,8 +201,8 @@ class Held:
 class Portfolio:
     """Equity shared by up to ``max_open_positions`` positions; one entry waits for the next bar."""
 
-    def __init__(self, config: EngineConfig, contracts: Mapping[str, Mapping], ranks: Mapping[str, tuple[int, float]]):
-        self.rules, self.risk, self.contracts, self.ranks = config.momentum, config.portfolio, contracts, ranks
+    def __init__(self, config: EngineConfig, contracts: Mapping[str, Mapping], ranks: Mapping[str, tuple[int, float]], gates: Mapping[str, tuple[float | None, str]] | None = None):
+        self.rules, self.risk, self.contracts, self.ranks, self.gates = config.momentum, config.portfolio, contracts, ranks, gates or {}
         self.equity = self.peak = self.day_start = self.week_start = config.portfolio.initial_equity
         self.realized = self.fees = 0.0
         self.held: dict[str, Held] = {}
@@ -283,7 +316,11 @@ class Portfolio:
                 options.append((self.ranks[symbol][0], symbol, decision))
         if options and self.pending is None and len(self.held) < risk.max_open_positions and not lost and not self.cooldown:
             _, symbol, decision = min(options, key=lambda o: o[0])
-            self.pending = (symbol, decision, self.ranks[symbol][1])
+            multiplier, why = self.gates.get(symbol, (1.0, ""))
+            if multiplier is None:
+                self.note(moment, symbol, "REJECT", detail=why)
+                return marked
+            self.pending = (symbol, decision, min(self.ranks[symbol][1], multiplier))
             self.note(moment, symbol, "ORDER_CREATED", detail="fill_not_before_next_candle")
         return marked
 
@@ -292,26 +329,43 @@ EVENT = "struct<symbol:string,event:string,quantity:double,price:double,equity:d
 SCHEMA = f"run_id string, timestamp timestamp, equity double, realized double, fees double, open_positions int, events array<{EVENT}>"
 
 
-def portfolio(features: DataFrame, contracts: Mapping[str, Mapping], ranks: Mapping[str, tuple[int, float]], runs: Mapping[str, EngineConfig]) -> DataFrame:
+def portfolio(
+    features: DataFrame, contracts: Mapping[str, Mapping], ranks: Mapping[str, tuple[int, float]], runs: Mapping[str, EngineConfig], gates: Mapping[str, tuple[float | None, str]] | None = None
+) -> DataFrame:
     """Per run and timestamp: marked equity, realized result, entry fees, open positions and events.
 
     ``contracts``: lot_size, minimum_quantity, minimum_notional, maximum_leverage by
-    symbol. ``ranks``: (rank, risk multiplier) of the eligible symbols.
+    symbol. ``ranks``: (rank, risk multiplier) of the eligible symbols. ``gates``, of
+    symbols whose entries are reviewed (``risk.entry_gate``): the review's risk
+    multiplier, or none and the reason against the entry. A replay has no gates.
     """
-    runs, contracts, ranks = dict(runs), dict(contracts), dict(ranks)
-    some = next(iter(runs.values()))
-
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        book, out = Portfolio(runs[key[0]], contracts, ranks), []
-        frame = frame[frame["symbol"].isin(list(contracts))].sort_values(["timestamp", "symbol"], kind="stable")
-        for moment, group in groupby(frame.itertuples(index=False), key=lambda r: r.timestamp):
+    runs, contracts, ranks, gates = dict(runs), dict(contracts), dict(ranks), dict(gates or {})
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["run_id", "timestamp", "equity", "realized", "fees", "open_positions", "events"]
+        book = run_id = None
+        out = []
+        for (run, moment), group in groupby((row for frame in frames for row in frame.itertuples(index=False)), key=lambda r: (r.run_id, r.timestamp)):
+            if run != run_id:
+                run_id, book = run, Portfolio(runs[run], contracts, ranks, gates)
             book.log = []
             equity = book.step(moment, {r.symbol: r for r in group})
-            out.append((key[0], moment, equity, book.realized, book.fees, len(book.held), [{k: v for k, v in e.items() if k != "timestamp"} for e in book.log]))
-        return pd.DataFrame(out, columns=["run_id", "timestamp", "equity", "realized", "fees", "open_positions", "events"])
-
-    rows = prepared(features, some.momentum).select(*ROW).withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
-    return rows.groupBy("run_id").applyInPandas(kernel, SCHEMA)
-
-
-__all__ = ["COARSE", "Decision", "Portfolio", "PortfolioRisk", "Watch", "dataset", "decide", "decisions", "portfolio", "prepared"]
+            out.append((run, moment, equity, book.realized, book.fees, len(book.held), [{k: v for k, v in e.items() if k != "timestamp"} for e in book.log]))
+            if len(out) >= 5000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    known = features.filter(F.col("symbol").isin(list(contracts)))
+    alike: dict[MomentumConfig, list[str]] = {}
+    for run, config in runs.items():
+        alike.setdefault(config.momentum, []).append(run)
+    # what depends on the configuration is worked out once for each
+    parts = [prepared(known, config).select(*ROW).withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in names]))) for config, names in alike.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    # a run passes in order, batch by batch: its state is all that a task holds
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "timestamp", "symbol").mapInPandas(kernel, SCHEMA)
+
+
+__all__ = ["COARSE", "Decision", "Managed", "Portfolio", "PortfolioRisk", "Watch", "dataset", "decide", "decisions", "manage", "portfolio", "prepared"]

@@ -191,6 +191,8 @@ def exit_reason(config: EngineConfig, bar, account: Account, last_z: float | Non
     to_center = rules.fixed_target_fraction is None and account.sign * bar.z >= 0
     nearing = rules.partial_exit_enabled and abs(bar.z) <= 0.5 and last_z is not None and abs(last_z) > 0.5
     checks = (
+        (bar.force_exit, bar.force_exit),
+        (not bar.reliable, "data integrity compromised"),
         (bar.regime == "shock", "shock regime"),
         (rules.session_flatten and bar.timestamp >= bar.session_close - minutes, "session flatten"),
         (account.held >= rules.time_stop_bars, "time stop"),
@@ -208,7 +210,7 @@ def entry_sign(config: EngineConfig, bar, cooldown: int) -> int:
         closes = bar.session_close - pd.Timedelta(minutes=rules.minutes_before_close)
         if not opens <= bar.timestamp < closes:
             return 0
-    if cooldown > 0 or bar.regime != "range" or bar.spread_bps > rules.max_spread_bps:
+    if cooldown > 0 or not bar.reliable or bar.regime != "range" or bar.spread_bps > rules.max_spread_bps:
         return 0
     if bar.z <= -rules.entry_z:
         return 1
@@ -242,42 +244,26 @@ def sized(config: EngineConfig, sign: int, entry: float, stop: float, spread_bps
     return quantity, "approved"
 
 
-def simulate(bars: Iterator, config: EngineConfig) -> Iterator[dict]:
-    """One telemetry row per bar, with the bar's fills."""
-    account = Account(config, config.costs.initial_equity)
-    limits, last_z = Limits(config, peak=config.costs.initial_equity), None
-    for bar in bars:
+class Simulation:
+    """One run over one symbol's bars; its state is the account, the limits and the last distance."""
+
+    def __init__(self, config: EngineConfig, trade_after=None):
+        self.config, self.trade_after = config, trade_after
+        self.account = Account(config, config.costs.initial_equity)
+        self.limits, self.last_z = Limits(config, peak=config.costs.initial_equity), None
+
+    def step(self, bar) -> dict:
+        """The bar's telemetry row, with its fills."""
+        account, limits = self.account, self.limits
         fills = account.fill(bar, bar.spread_bps)
         account.drop_orphans()
         equity = account.equity(bar.close)
         limits.mark(bar, equity, account.realized)
         signal = detail = None
-        if bar.usable:
-            if account.sign:
-                why = exit_reason(config, bar, account, last_z)
-                if why:
-                    partial = config.range.partial_exit_enabled and abs(bar.z) <= 0.5
-                    signal = "reduce" if partial else "exit"
-                    lot = config.instrument.lot_size
-                    quantity = steps_down(account.quantity / 2, lot) if partial else account.quantity
-                    if quantity > 0:
-                        account.place(bar.timestamp, "exit", -account.sign, "market", quantity)
-                    detail = why if quantity > 0 else "Rounded exit quantity is zero"
-            elif sign := entry_sign(config, bar, limits.cooldown):
-                rules = config.range
-                if rules.fixed_stop_fraction is None:
-                    stop, target = bar.close - sign * rules.stop_atr * bar.atr, bar.center
-                else:
-                    stop, target = bar.close * (1 - sign * rules.fixed_stop_fraction), bar.close * (1 + sign * rules.fixed_target_fraction)
-                signal = "enter_long" if sign > 0 else "enter_short"
-                detail = limits.blocked(equity, False)
-                if detail is None:
-                    quantity, detail = sized(config, sign, bar.close, stop, bar.spread_bps, equity, max(0.0, account.cash))
-                    if quantity:
-                        account.place(bar.timestamp, "entry", sign, "market", quantity)
-                        account.place(bar.timestamp, "stop", -sign, "stop", quantity, stop)
-                        account.place(bar.timestamp, "target", -sign, "limit", quantity, target)
-        yield {
+        if bar.usable and (self.trade_after is None or bar.timestamp > self.trade_after):
+            signal, detail = self.act(bar, equity)
+        self.last_z = None if bar.z is None or math.isnan(bar.z) else bar.z
+        return {
             "timestamp": bar.timestamp,
             "close": bar.close,
             "regime": bar.regime,
@@ -289,28 +275,98 @@ def simulate(bars: Iterator, config: EngineConfig) -> Iterator[dict]:
             "kill_switch": limits.cause,
             "fills": fills,
         }
-        last_z = None if bar.z is None or math.isnan(bar.z) else bar.z
+
+    def act(self, bar, equity: float) -> tuple[str | None, str | None]:
+        """(signal, what became of it)."""
+        config, account = self.config, self.account
+        rules = config.range
+        if account.sign:
+            why = exit_reason(config, bar, account, self.last_z)
+            if not why:
+                return None, None
+            partial = rules.partial_exit_enabled and abs(bar.z) <= 0.5
+            quantity = steps_down(account.quantity / 2, config.instrument.lot_size) if partial else account.quantity
+            if quantity > 0:
+                account.place(bar.timestamp, "exit", -account.sign, "market", quantity)
+            return "reduce" if partial else "exit", why if quantity > 0 else "Rounded exit quantity is zero"
+        sign = entry_sign(config, bar, self.limits.cooldown)
+        if not sign:
+            return None, None
+        if rules.fixed_stop_fraction is None:
+            stop, target = bar.close - sign * rules.stop_atr * bar.atr, bar.center
+        else:
+            stop, target = bar.close * (1 - sign * rules.fixed_stop_fraction), bar.close * (1 + sign * rules.fixed_target_fraction)
+        signal, detail = "enter_long" if sign > 0 else "enter_short", self.limits.blocked(equity, False)
+        if detail is None:
+            quantity, detail = sized(config, sign, bar.close, stop, bar.spread_bps, equity, max(0.0, account.cash))
+            if quantity:
+                account.place(bar.timestamp, "entry", sign, "market", quantity)
+                account.place(bar.timestamp, "stop", -sign, "stop", quantity, stop)
+                account.place(bar.timestamp, "target", -sign, "limit", quantity, target)
+        return signal, detail
+
+
+def simulate(bars: Iterator, config: EngineConfig, trade_after=None) -> Iterator[dict]:
+    """One telemetry row per bar, with the bar's fills."""
+    run = Simulation(config, trade_after)
+    return map(run.step, bars)
 
 
 FILL = "struct<purpose:string,side:string,price:double,quantity:double,commission:double,slippage:double>"
 SCHEMA = f"run_id string, symbol string, timestamp timestamp, close double, regime string, equity double, position double, realized double, signal string, detail string, kill_switch string, fills array<{FILL}>"
-NEEDED = ["open", "high", "low", "close", "volume", "spread_bps", "atr", "center", "z", "regime", "usable", "session", "week", "session_open", "session_close"]
-
-
-def backtest(features: DataFrame, runs: Mapping[str, EngineConfig]) -> DataFrame:
-    """Telemetry of every run over every symbol's bars (symbol, timestamp and NEEDED)."""
+NEEDED = ["open", "high", "low", "close", "volume", "spread_bps", "atr", "center", "z", "regime", "usable", "session", "week", "session_open", "session_close", "reliable", "force_exit"]
+#: Runs that pass a symbol's bars together, so that its bars are shuffled once for all of them.
+TOGETHER = 8
+
+
+def gated(features: DataFrame, report: DataFrame, minimum_score: float = 1.0, mode: str = "fail") -> DataFrame:
+    """The bars of symbols whose validation report passed with at least that score.
+
+    Mode "fail": a symbol that didn't is an error that names it; "drop": its bars go;
+    "flag": they stay, not ``reliable``, so that nothing is entered and positions go.
+    A symbol without a report passes for none.
+    """
+    if mode not in ("fail", "drop", "flag"):
+        raise ValueError("mode is 'fail', 'drop' or 'flag'")
+    good = report.select("symbol", (F.col("passed") & (F.col("score") >= minimum_score)).alias("_good"))
+    out = features.join(good, "symbol", "left").withColumn("_good", F.coalesce("_good", F.lit(False)))
+    if mode == "flag":
+        return out.withColumnRenamed("_good", "reliable") if "reliable" not in features.columns else out.withColumn("reliable", F.col("reliable") & F.col("_good")).drop("_good")
+    if mode == "fail":
+        told = F.raise_error(F.concat(F.lit("data quality is below the threshold: "), F.col("symbol"))).cast("boolean")
+        return out.filter(F.when(F.col("_good"), True).otherwise(told)).drop("_good")
+    return out.filter("_good").drop("_good")
+
+
+def backtest(features: DataFrame, runs: Mapping[str, EngineConfig], trade_after=None) -> DataFrame:
+    """Telemetry of every run over every symbol's bars (symbol, timestamp and NEEDED).
+
+    ``reliable`` (default true) and ``force_exit`` (a reason; default none) are per
+    bar. Bars up to ``trade_after``, a naive UTC time, warm up: orders are filled but
+    nothing is decided.
+    """
     runs = dict(runs)
-
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        run_id, symbol = key
-        frame = frame.sort_values("timestamp", kind="stable")
-        out = pd.DataFrame(list(simulate(frame.itertuples(index=False), runs[run_id])))
-        out.insert(0, "symbol", symbol)
-        out.insert(0, "run_id", run_id)
-        return out
-
-    grid = features.select("symbol", "timestamp", *NEEDED).withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
-    return grid.groupBy("run_id", "symbol").applyInPandas(kernel, SCHEMA)
+    lots = [list(runs)[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+        now, running, out = None, {}, []
+        for frame in frames:
+            for bar in frame.itertuples(index=False):
+                if now != (bar.lot, bar.symbol):
+                    now, running = (bar.lot, bar.symbol), {r: Simulation(runs[r], trade_after) for r in lots[bar.lot]}
+                for run_id, run in running.items():
+                    out.append({"run_id": run_id, "symbol": bar.symbol, **run.step(bar)})
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+
+    has = set(features.columns)
+    missing = {n: v for n, v in (("reliable", F.lit(True)), ("force_exit", F.lit(None).cast("string"))) if n not in has}
+    rows = features.withColumns(missing) if missing else features
+    rows = rows.select("symbol", "timestamp", *NEEDED).withColumn("lot", F.explode(F.array(*[F.lit(i) for i in range(len(lots))])))
+    # bars pass in order, batch by batch: a task holds the state of a lot of runs, not a history
+    return rows.repartition("lot", "symbol").sortWithinPartitions("lot", "symbol", "timestamp").mapInPandas(kernel, SCHEMA)
 
 
 def summary(telemetry: DataFrame, initial: float) -> DataFrame:

@@ -66,7 +66,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    return s.filter(k % 10 != 3).select(
+    return s.select(
         F.col("s_name").alias("symbol"),
         (F.abs("s_acctbal") * 2000).alias("quote_volume"),
         (k % 23).cast("double").alias("spread_bps"),
@@ -121,7 +121,7 @@ equity AS (SELECT account, day, CAST(day AS TIMESTAMP) AS timestamp, 10000000.0
     "qualities": """qualities AS (SELECT s_name AS symbol, abs(s_acctbal) * 2000 AS quote_volume, CAST(s_suppkey % 23 AS DOUBLE) AS spread_bps, CAST(s_suppkey % 13 * 400 AS DOUBLE) AS depth,
   CAST(s_suppkey % 7 AS DOUBLE) * 0.0008::DOUBLE AS mark_divergence, CASE WHEN s_suppkey % 17 <> 0 THEN CAST(s_suppkey % 7 AS DOUBLE) * 0.0003::DOUBLE END AS funding_8h,
   CAST(s_suppkey * 7 + 100 AS DOUBLE) AS history_hours, CAST(s_suppkey % 6 AS DOUBLE) AS age_seconds, CAST(s_suppkey % 9 - 4 AS DOUBLE) AS momentum_atr,
-  CAST(s_suppkey % 5 - 1 AS DOUBLE) AS volume_zscore FROM supplier WHERE s_suppkey % 10 <> 3)""",
+  CAST(s_suppkey % 5 - 1 AS DOUBLE) AS volume_zscore FROM supplier)""",
     "accounts": """accounts AS (SELECT c_custkey AS account, c_acctbal * 10 AS equity, c_acctbal * 8 AS buying_power, CAST(50 + c_custkey % 100 AS DOUBLE) AS entry,
   50 + c_custkey % 100 - (c_custkey % 7 - 1) * 0.5::DOUBLE AS stop, c_custkey % 3 <> 0 AS is_buy, 0.125::DOUBLE AS cost, c_custkey % 50 = 0 AS kill_switch,
   c_acctbal * 10 + c_custkey % 400 AS day_start_equity, c_acctbal * 10 + c_custkey % 900 AS week_start_equity, c_acctbal * 10 + c_custkey % 700 AS peak_equity,

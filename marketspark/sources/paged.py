@@ -9,6 +9,7 @@ so tests read files and a deployment a network.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from importlib import import_module
 
@@ -71,23 +72,41 @@ class PagedReader(DataSourceReader):
 
 
 class PollReader(SimpleDataSourceStreamReader):
-    """Polls for what is new; the offset is the time up to which bars were read."""
+    """Polls for what is new, of every symbol for itself.
+
+    A symbol's offset is the time behind its last bar read, so bars that come late
+    to the source are read by a later poll. Without ``end`` a poll reads up to the
+    present. A span of ``step`` without a bar is passed only if a later one has some.
+    """
 
     def __init__(self, options):
-        self.inner = PagedReader({**options, "end": options.get("end", "0")})
+        self.ends = int(options["end"]) if "end" in options else None
+        self.inner = PagedReader({**options, "end": "0"})
         self.step = int(options.get("step", 300_000 * 200))
 
     def initialOffset(self) -> dict:
-        return {"time": self.inner.start}
+        return dict.fromkeys(self.inner.symbols, self.inner.start)
+
+    def bars(self, symbol: str, start: int, end: int) -> list[tuple]:
+        return sorted(backward(resolve(self.inner.fetch), symbol, start, end, self.inner.limit))
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(start["time"] + self.step, self.inner.end)
-        rows = list(self.readBetweenOffsets(start, {"time": end}))
-        return iter(rows), {"time": max(start["time"], end)}
+        most = self.ends if self.ends is not None else int(time.time() * 1000)
+        rows, end = [], dict(start)
+        for symbol in self.inner.symbols:
+            at = start[symbol]
+            while at < most:
+                found = self.bars(symbol, at, min(at + self.step, most))
+                at = min(at + self.step, most)
+                if found:
+                    rows += found
+                    end[symbol] = found[-1][1] + 1
+                    break
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for symbol in self.inner.symbols:
-            yield from backward(resolve(self.inner.fetch), symbol, start["time"], end["time"], self.inner.limit)
+            yield from self.bars(symbol, start[symbol], end[symbol])
 
 
 def register(spark: SparkSession) -> None:

@@ -17,12 +17,18 @@ def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return reader.parquet(path)
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _arrival) of every line. Lines come in order of file name, and within a file of their place."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return spark.read.text(path).select("value", at.alias("_arrival"))
+
+
 def candle_lines(spark: SparkSession, path: str, symbol: str, most_bps: float = 1.0, mode: str = "flag") -> DataFrame:
     """Collected candles of one symbol, the last line of a time wins, prices repaired.
 
     Lines that aren't JSON, or whose numbers aren't, are left out.
     """
-    raw = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("_arrival"))
+    raw = lines_of(spark, path)
     row = F.from_json("value", S.CANDLE_LINE, {"mode": "PERMISSIVE"})
     lines = raw.select("_arrival", row.alias("r")).select("_arrival", F.col("r.spread_bps").alias("spread_bps"), "r.candle.*")
     numbers = {n: F.col(n).try_cast("double") for n in ("open", "high", "low", "close")}
@@ -39,7 +45,7 @@ def candle_lines(spark: SparkSession, path: str, symbol: str, most_bps: float =
 
 def message_log(spark: SparkSession, path: str, as_of: Column | None = None, channel: str = "market_kline_5min", seconds: int = 300) -> DataFrame:
     """Bars of a recorded message log: each bucket's last update, without the bucket still open at ``as_of``."""
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_arrival"))
+    raw = lines_of(spark, path)
     m = "message"
     text = json_field("value", [m])
     data = F.get_json_object(text, "$.data")
@@ -98,7 +104,8 @@ def stream_states(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot file's map from symbol to state, as rows with numbers."""
     raw = spark.read.option("wholetext", True).text(path)
     states = F.from_json(F.coalesce(F.get_json_object("value", "$.symbols"), F.col("value")), f"map<string,{S.STREAM_STATE}>")
-    rows = raw.select(F.explode(states).alias("symbol", "s")).select("symbol", "s.*")
+    made = parse_utc(json_field("value", ["generated_at"])).alias("generated_at")
+    rows = raw.select(F.explode(states).alias("symbol", "s"), made).select("symbol", "generated_at", "s.*")
     numbers = ["best_bid", "best_ask", "spread_bps", "depth_half_percent", "mark_price", "index_price", "funding_rate", "funding_interval_hours", "buy_volume", "sell_volume"]
     return rows.withColumns({n: F.col(n).try_cast("double") for n in numbers}).withColumn("updated_at", parse_utc("updated_at"))
 

@@ -24,26 +24,74 @@ def ordered(df, *names):
     return [tuple(r) for r in df.orderBy("timestamp").select(*names).collect()]
 
 
-def test_atr_by_hand(spark):
-    got = ordered(I.with_atr(bars(spark, [10, 12, 13, 15], [8, 9, 10, 12], [9, 11, 12, 14]), 3), "atr")
-    assert [x[0] is None for x in got] == [True, True, False, False]
-    assert got[2][0] == pytest.approx(8 / 3) and got[3][0] == pytest.approx(25 / 9)
-
-
-def test_vwaps_by_hand(spark):
-    b = bars(spark, [11, 13, 21, 23], [9, 11, 19, 21], [10, 12, 20, 22], [1, 3, 2, 2], session=["a", "a", "b", "b"])
-    got = ordered(b.withColumns({"s": I.session_vwap(), "r": I.rolling_vwap(2)}), "s", "r")
-    assert [x[0] for x in got] == pytest.approx([10, 11.5, 20, 21])
-    assert got[0][1] is None and got[1][1] == pytest.approx(11.5)
-
-
-def test_adx_of_a_trend_and_no_look_ahead(spark):
-    close = list(range(1, 31))
-    b = bars(spark, [c + 1 for c in close], [c - 1 for c in close], close)
-    full = ordered(I.with_adx(b, 3), "adx", "plus_di", "minus_di")
-    part = ordered(I.with_adx(b.orderBy("timestamp").limit(29), 3), "adx")
-    assert full[-1][0] == pytest.approx(100) and full[-1][1] > full[-1][2]
-    assert part[-1][0] == pytest.approx(full[28][0])
+def walk(seed: int, n: int = 90) -> pd.DataFrame:
+    """Bars of a random walk in whole cents."""
+    rng = np.random.default_rng(seed)
+    close = 50 + rng.normal(0, 0.4, n).cumsum().round(2)
+    return pd.DataFrame({"high": close + rng.integers(1, 80, n) / 100, "low": close - rng.integers(1, 80, n) / 100, "close": close, "volume": rng.integers(1, 900, n).astype(float)})
+
+
+def brute_wilder(values: list, period: int) -> list:
+    out, seen, last = [], [], None
+    for v in values:
+        if last is not None:
+            last = (last * (period - 1) + v) / period
+        elif v is not None:
+            seen.append(v)
+            last = sum(seen) / period if len(seen) == period else None
+        out.append(last)
+    return out
+
+
+def same(got, want) -> None:
+    assert [x is None for x in got] == [x is None for x in want]
+    assert [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None])
+
+
+@pytest.mark.parametrize("period", [2, 7])
+def test_atr_and_adx_equal_brute_force(spark, period):
+    d = walk(period)
+    h, lo, c = (d[n].tolist() for n in ("high", "low", "close"))
+    true = [h[0] - lo[0]] + [max(h[i], c[i - 1]) - min(lo[i], c[i - 1]) for i in range(1, len(c))]
+    plus, minus = [None], [None]
+    for i in range(1, len(c)):
+        up, down = h[i] - h[i - 1], lo[i - 1] - lo[i]
+        plus.append(up if up > max(down, 0) else 0.0)
+        minus.append(down if down > max(up, 0) else 0.0)
+    atr, p, m = (brute_wilder(x, period) for x in (true, plus, minus))
+    di = [(None, None) if t is None or x is None else (100 * x / t, 100 * y / t) for t, x, y in zip(atr, p, m)]
+    adx = brute_wilder([None if x is None else 100 * abs(x - y) / (x + y) for x, y in di], period)
+    b = bars(spark, h, lo, c)
+    same([r[0] for r in ordered(I.with_atr(b, period), "atr")], atr)
+    got = ordered(I.with_adx(b, period), "adx", "plus_di", "minus_di")
+    same([r[0] for r in got], adx)
+    same([r[1] for r in got], [x for x, _ in di])
+    same([r[2] for r in got], [y for _, y in di])
+
+
+def test_no_bar_knows_later_ones(spark):
+    d = walk(11)
+    columns = [d[n].tolist() for n in ("high", "low", "close", "volume")]
+
+    def features(n):
+        b = bars(spark, *[x[:n] for x in columns])
+        out = I.with_adx(b, 5, emas={"e": ("close", 9, 1)}, atr=("atr", 4))
+        up, down = I.breakout(6)
+        return ordered(out.withColumns({"up": up, "down": down, "v": I.rolling_vwap(5), "z": I.volume_zscore(6), "q": I.rolling_percentile("close", 7)}), "adx", "atr", "e", "up", "down", "v", "z", "q")
+
+    assert features(60) == features(90)[:60]
+
+
+def test_windows_equal_brute_force(spark):
+    d = walk(23)
+    day = [f"day{i // 25}" for i in range(len(d))]
+    b = bars(spark, *[d[n].tolist() for n in ("high", "low", "close", "volume")], session=day)
+    up, down = I.breakout(8)
+    got = ordered(b.withColumns({"s": I.session_vwap(), "r": I.rolling_vwap(6), "up": up, "down": down}), "s", "r", "up", "down")
+    weigh = lambda x: float(((x.high + x.low + x.close) / 3 * x.volume).sum() / x.volume.sum())
+    for i, (s, r, high, low) in enumerate(got):
+        assert s == pytest.approx(weigh(d[25 * (i // 25) : i + 1]))
+        same([r, high, low], [weigh(d[i - 5 : i + 1]) if i >= 5 else None, d.high[i - 8 : i].max() if i >= 8 else None, d.low[i - 8 : i].min() if i >= 8 else None])
 
 
 def test_scans_equal_loops_over_many_blocks(spark):
@@ -65,15 +113,9 @@ def test_wilder_after_a_null_is_null(spark):
     assert [r[0] for r in ordered(wilder(b, I.KEY, I.ORDER, {"w": "x"}, 2), "w")] == [None, 1, 1, 1, None, None]
 
 
-def test_breakout_leaves_the_present_bar_out(spark):
-    high = [101.0] * 30
-    high[-1] = 999
-    up, _ = I.breakout(20)
-    assert ordered(bars(spark, high, [99] * 30, [100] * 30).withColumn("b", up), "b")[-1][0] == 101
-
-
-def test_zero_atr_gives_null(spark):
-    assert spark.range(1).select(P.in_atr(F.lit(1.0), F.lit(0.0)).alias("z")).first()[0] is None
+def test_nothing_is_divided_by_zero(spark):
+    got = spark.range(1).select(P.in_atr(F.lit(3.5), F.lit(0.0)).alias("z"), P.pct_change(F.lit(2.0), F.lit(0.0)).alias("p"), P.mark_divergence(F.lit(2.0), F.lit(0.0)).alias("m")).first()
+    assert tuple(got) == (None, None, None)
 
 
 def test_regime_needs_three_bars_but_shock_none(spark):
@@ -100,8 +142,10 @@ def test_confirmation_equals_the_state_machine(spark):
 
 
 def test_triple_barrier_counts_the_stop_first(spark):
-    b = bars(spark, [100, 102, 103], [100, 98, 101], [100, 100, 102])
-    assert ordered(b.withColumn("y", labels.triple_barrier(2, F.lit(True), F.lit(99.0), F.lit(101.0))), "y")[0][0] == -1
+    b = bars(spark, [50, 54, 50, 56, 50], [50, 46, 50, 49, 50], [50, 50, 50, 50, 50])
+    long = ordered(b.withColumn("y", labels.triple_barrier(2, F.lit(True), F.lit(47.0), F.lit(53.0))), "y")
+    short = ordered(b.withColumn("y", labels.triple_barrier(2, F.lit(False), F.lit(53.0), F.lit(47.0))), "y")
+    assert [r[0] for r in long] == [-1, 1, 1, 0, 0] and [r[0] for r in short] == [-1, -1, -1, 0, 0]
     with pytest.raises(ValueError):
         labels.triple_barrier(0, F.lit(True), F.lit(1.0), F.lit(2.0))
 
@@ -115,11 +159,12 @@ def test_edges_of_buckets(spark):
 
 
 def test_minutes_become_a_quarter(spark):
-    n = 16
-    p = [100 + i for i in range(n)]
-    b = bars(spark, [x + 0.2 for x in p], [x - 0.2 for x in p], p, [10.0] * n, minutes=1)
-    r = B.resample(b, 900).orderBy("timestamp").first()
-    assert (r["timestamp"], r["open"], r["close"], r["volume"]) == (T0 + pd.Timedelta(minutes=15), 100, 114, 150)
+    d = walk(3, 40)
+    b = bars(spark, *[d[n].tolist() for n in ("high", "low", "close", "volume")], minutes=1)
+    for i, r in enumerate(B.resample(b, 600).orderBy("timestamp").collect()):
+        part = d[10 * i : 10 * i + 10]
+        assert r["timestamp"] == T0 + pd.Timedelta(minutes=10 * (i + 1))
+        assert (r["open"], r["high"], r["low"], r["close"], r["volume"]) == (part.close.iloc[0], part.high.max(), part.low.min(), part.close.iloc[-1], part.volume.sum())
 
 
 def test_the_last_row_wins(spark):

@@ -1,6 +1,6 @@
 import pytest
 
-from marketspark import queries as Q
+from marketspark import catalogue as Q
 from tests.compare import SMALL, duck, rows
 
 

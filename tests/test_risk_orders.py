@@ -91,9 +91,9 @@ def test_ambiguous_symbols_go(spark):
 def test_book_and_repair(spark):
     book = one(spark, s=P.spread_bps(99.0, 101.0), x=P.spread_bps(101.0, 99.0))
     assert book.s == pytest.approx(200) and book.x is None
-    bar = spark.createDataFrame([("s", 101.005, 101.0, 99.0, 100.0, 1.0)], "symbol string, open double, high double, low double, close double, volume double")
+    bar = spark.createDataFrame([("s", 20.001, 20.0, 19.0, 19.5, 1.0)], "symbol string, open double, high double, low double, close double, volume double")
     got = quality.repair_ohlc(bar).first()
-    assert got.high == 101.005 and got.ohlc_adjusted and not got.ohlc_rejected
+    assert got.high == 20.001 and got.ohlc_adjusted and not got.ohlc_rejected
     assert quality.repair_ohlc(bar.withColumn("open", F.lit(200.0)), "drop").count() == 0
 
 
@@ -103,6 +103,7 @@ class Bar:
         self.open, self.high, self.low, self.close, self.z = o, h, lo, c, z
         self.volume, self.spread_bps, self.atr, self.center, self.regime, self.usable = 1e6, 0.0, 2.0, 105.0, "range", True
         self.session, self.week = "a", "w"
+        self.reliable, self.force_exit = True, None
         self.session_open, self.session_close = pd.Timestamp("2026-01-05 14:30"), pd.Timestamp("2026-01-05 21:00")
         self.__dict__.update(more)
 
@@ -129,6 +130,27 @@ def test_time_stop_and_cash_identity():
     assert rows[-1]["equity"] == pytest.approx(cash + rows[-1]["position"] * rows[-1]["close"])
 
 
+def test_bars_up_to_the_start_warm_up_and_unreliable_ones_close():
+    bars = [Bar(i, 100, 101, 99, 100, -2.0) for i in range(6)]
+    assert not any(r["signal"] or r["fills"] for r in R.simulate(bars, config(), trade_after=bars[-1].timestamp))
+    late = list(R.simulate(bars, config(), trade_after=bars[2].timestamp))
+    assert [r["signal"] for r in late[:4]] == [None, None, None, "enter_long"]
+    bad = [*bars[:2], Bar(2, 100, 101, 99, 100, -2.0, reliable=False), *[Bar(i, 100, 101, 99, 100, -2.0, reliable=False) for i in (3, 4)]]
+    rows = list(R.simulate(bad, config()))
+    assert rows[2]["detail"] == "data integrity compromised" and rows[3]["position"] == 0 and rows[4]["signal"] is None
+    forced = list(R.simulate([*bars[:2], Bar(2, 100, 101, 99, 100, -2.0, force_exit="operator", reliable=False)], config()))
+    assert forced[2]["detail"] == "operator"
+
+
+def test_the_quality_gate(spark):
+    bars = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "symbol string, n int")
+    report = spark.createDataFrame([("a", True, 1.0), ("b", False, 0.9)], "symbol string, passed boolean, score double")
+    assert [r.symbol for r in R.gated(bars, report, mode="drop").collect()] == ["a"]
+    assert {r.symbol: r.reliable for r in R.gated(bars, report, mode="flag").collect()} == {"a": True, "b": False, "c": False}
+    with pytest.raises(Exception, match="data quality is below the threshold"):
+        R.gated(bars, report).collect()
+
+
 def test_a_lost_account_stops():
     bars = [Bar(0, 100, 101, 99, 100, -2.0), Bar(1, 100, 101, 99, 100, -2.0), *[Bar(i, 60, 61, 59, 60, -2.0) for i in range(2, 6)]]
     rows = list(R.simulate(bars, replace(config(), risk=RiskLimits(risk_per_trade=0.5, hard_notional_cap=1e9))))
@@ -158,6 +180,25 @@ def test_a_breakout_waits_for_its_retest():
     assert M.decide(Row(low=95, close=96), wait, rules)[0].reason == "retest_expired_or_shock"
 
 
+def test_a_position_is_managed_by_its_risk():
+    rules = MomentumConfig()
+    for sign in (1, -1):
+        at = lambda x, s=sign: 200 + s * x
+        row = lambda reach, atr=2.0, s=sign: Row(high=max(at(reach, s), at(0, s)), low=min(at(reach, s), at(0, s)), atr=atr)  # noqa: E731, B023
+        start = M.Managed(at(0), 4.0)
+        assert M.manage(Row(shock=True), sign, 0, start, rules)[0].reason == "shock_exit"
+        assert M.manage(row(1), sign, rules.time_stop_bars, start, rules)[0].reason == "time_stop"
+        assert M.manage(row(1), sign, 0, M.Managed(at(0), 0.0), rules)[0].reason == "missing_protective_stop"
+        held, state = M.manage(row(3), sign, 0, start, rules)
+        assert held.action == "hold" and held.stop is None and state.best == at(3)
+        cut, state = M.manage(row(4), sign, 1, state, rules)
+        assert (cut.action, cut.reason, cut.stop) == ("reduce", "one_r_partial", at(0)) and state.one_r_hit
+        trail, state = M.manage(row(20), sign, 2, state, rules)
+        assert trail.stop == at(20 - 2.0 * rules.trailing_atr) and state.trailing == trail.stop
+        back, state = M.manage(row(1), sign, 3, state, rules)
+        assert back.stop == trail.stop  # it never loosens
+
+
 def test_mean_reversion_and_shock():
     d, _ = M.decide(Row(momentum_regime="sideways", adaptive_z=-2.0, adaptive_center=104.0, close=98.75), M.NOTHING, MomentumConfig())
     assert d.action == "enter_long" and d.stop == pytest.approx(97.5) and d.target == 104

@@ -16,19 +16,37 @@ def lines(path, rows):
 
 
 def test_candle_lines(spark, tmp_path):
-    candle = {"time": "1767225600000", "open": "101.005", "high": "101", "low": "99", "close": "100", "baseVol": "3"}
-    p = lines(tmp_path / "c.jsonl", [{"spread_bps": 1.0, "candle": {**candle, "close": "99.5"}}, "not json", {"spread_bps": 1.25, "candle": candle}])
+    candle = {"time": "1735700000000", "open": "40.002", "high": "40", "low": "38", "close": "39", "baseVol": "3"}
+    p = lines(tmp_path / "c.jsonl", [{"spread_bps": 2.0, "candle": {**candle, "close": "38.5"}}, "not json", {"spread_bps": 2.5, "candle": candle}])
     got = readers.candle_lines(spark, p, "s").collect()
-    assert len(got) == 1 and got[0].high == 101.005 and got[0].close == 100 and got[0].ohlc_adjusted and got[0].spread_bps == 1.25
+    assert len(got) == 1 and got[0].high == 40.002 and got[0].close == 39 and got[0].ohlc_adjusted and got[0].spread_bps == 2.5
+
+
+def test_arrival_goes_by_file_and_place(spark, tmp_path):
+    """Spark reads large files first; the older, larger one must not win."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def m(close, pad=""):
+        return {"pad": pad, "message": {"ch": "market_kline_5min", "symbol": "catusdt", "ts": 1735700100000, "data": {"o": "1", "h": "9", "l": "0.5", "c": close, "v": "9"}}}
+
+    lines(log / "2025-01-01.jsonl", [m(str(2 + i / 1000), "x" * 500) for i in range(500)])
+    lines(log / "2025-01-02.jsonl", [m("7"), m("8")])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert [r.close for r in readers.message_log(spark, str(log)).collect()] == [8.0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_message_log(spark, tmp_path):
     def m(ts, c, ch="market_kline_5min"):
         return {"received_at": "x", "message": {"ch": ch, "symbol": "dogeusdt", "ts": ts, "data": {"o": "1", "h": "2", "l": "0.5", "c": c, "v": "9"}}}
 
-    p = lines(tmp_path / "e.jsonl", [m(1767225600000, "1.1"), m(1767225700000, "1.2"), "{", m(1767225900000, "1.3"), m(1767225600000, "9", "price")])
-    got = readers.message_log(spark, p, F.lit("2026-01-01 00:07:00").cast("timestamp")).collect()
-    assert [(r.symbol, r.close) for r in got] == [("DOGEUSDT", 1.2)]
+    p = lines(tmp_path / "e.jsonl", [m(1735689900000, "3.5"), m(1735690000000, "3.7"), "{", m(1735690200000, "3.8"), m(1735689900000, "9", "price")])
+    got = readers.message_log(spark, p, F.lit("2025-01-01 00:12:00").cast("timestamp")).collect()
+    assert [(r.symbol, r.close) for r in got] == [("DOGEUSDT", 3.7)]
 
 
 def test_catalog_and_states(spark, tmp_path):
@@ -71,6 +89,47 @@ def test_paged_source(spark):
     assert df.groupBy("symbol").count().collect()[0]["count"] == 25 and df.count() == 50
 
 
+LATE: list[dict] = []
+
+
+def fetch_late(symbol, start, end, limit):
+    return [p for p in LATE if start <= p["time"] <= end][-limit:]
+
+
+def test_polls_lose_no_late_bar():
+    """What the source didn't have yet is read by the next poll; spans without bars are passed when later ones have some."""
+    options = {"fetch": "tests.test_sources_streams:fetch_late", "symbols": "a", "start": "0", "step": "10000", "limit": "4"}
+    LATE[:] = PAGES[:6]
+    for more in ({}, {"end": "60000"}):
+        LATE[:] = PAGES[:6]
+        reader = paged.PollReader({**options, **more})
+        rows, offset = reader.read(reader.initialOffset())
+        assert [r[1] for r in rows] == [1000 * i for i in range(6)]
+        LATE[:] = PAGES[:9]
+        rows, offset = reader.read(offset)
+        assert [r[1] for r in rows] == [6000, 7000, 8000]
+        rows, same = reader.read(offset)
+        assert list(rows) == [] and same == offset
+        LATE[:] = [*PAGES[:9], {**PAGES[0], "time": 47_000}]
+        rows, last = reader.read(offset)
+        assert [r[1] for r in rows] == [47_000] and [r[1] for r in reader.readBetweenOffsets(offset, last)] == [47_000]
+
+
+def test_a_report_replaces_the_last(spark, tmp_path):
+    for n in (1, 2):
+        sinks.write_report(spark.range(n).agg(F.count("*").alias("n")), f"file://{tmp_path}/deep/er/r.json")
+    assert json.loads((tmp_path / "deep" / "er" / "r.json").read_text()) == {"n": 2}
+    assert sorted(p.name for p in (tmp_path / "deep" / "er").iterdir() if not p.name.endswith(".crc")) == ["r.json"]
+
+
+def test_inserts_keep_the_least_of_a_key(spark, tmp_path):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (2, "z")], "k int, v string")
+    assert sinks.insert_new(spark, d.repartition(3), str(tmp_path / "t"), ["k"]) == 2
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a"), (2, "z")]
+    held = sinks.known(spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame([(2,), (9,)], "k int"), "k")
+    assert sorted(map(tuple, held.collect())) == [(2, True), (9, False)]
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     path = str(tmp_path / "t")
