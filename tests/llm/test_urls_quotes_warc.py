@@ -39,6 +39,8 @@ def test_urls_by_hand(spark):
     kept = url_filter.allowed_pages(df, queries.POLICY)
     assert sorted(r.page_id for r in kept.collect()) == [i for i, c in enumerate(CASES) if c[4] == "allow"] and kept.columns == df.columns
     assert url_filter.judge_urls(df.limit(0), queries.POLICY).count() == 0
+    odd = df.withColumnRenamed("url", "a.url")
+    assert url_filter.allowed_pages(odd, queries.POLICY, "a.url").count() == kept.count() and url_filter.allowed_pages(df.limit(0), queries.POLICY).count() == 0
 
 
 def test_rules_are_checked():
@@ -127,6 +129,72 @@ def test_the_longest_run_decides_and_then_the_latest(spark):
     assert all(got["h", i] == (i - 1 if i else None) for i in range(300))
 
 
+def brute_parents(data):
+    """For every message the parent, by comparing each quoted passage's units with those of each earlier message."""
+    out = {}
+    for conv, turn, _, text, _ in data:
+        if turn is None:
+            continue
+        best = None
+        for level, passage in quotes.parse(text or "")[1]:
+            if quotes.passage_hash(passage) is None:
+                continue
+            asked, source = quotes.units(passage), None
+            for c, earlier, _, other, _ in data:
+                if c != conv or earlier is None or earlier >= turn:
+                    continue
+                own, _, cuts = quotes.parse_parts(other or "")
+                hit = max((asked[h] for h in quotes.units(own, cuts) if h in asked), default=0)
+                if hit and (source is None or (hit, earlier) > source):
+                    source = (hit, earlier)
+            if source and (best is None or (-level, source[1]) > best):
+                best = (-level, source[1])
+        key = (conv, turn)
+        if best is not None:
+            out[key] = max(out.get(key, -1), best[1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_equal_brute_force(spark, seed):
+    """Planted quotes of lines, sentences and paragraphs; one passage stands in a third of all messages."""
+    import random
+
+    r = random.Random(seed)
+    say = lambda: f"{r.choice('one two three four five six'.split())} {r.randrange(60)}."
+    data, told = [], {}
+    for i in range(240):
+        conv = r.choice(["a", "a", "a", "b", None, "\0", ""])
+        own = [say() for _ in range(r.randrange(1, 6))] + (["everybody says this."] if i % 3 == 0 else [])
+        body = r.choice(["\n", " ", "\n\n"]).join(own)
+        earlier = told.setdefault(conv, [])
+        if earlier and r.random() < 0.6:
+            lines = [x for x in r.choice(earlier).replace(". ", ".\n").split("\n") if x]
+            at = r.randrange(len(lines))
+            quoted = [f"{'> ' * r.choice([1, 1, 2])}{x}" for x in lines[at : at + r.randrange(1, 4)]]
+            body = "\n".join([*quoted, body])
+        if i % 10 == 3:
+            body = "> everybody says this.\n" + body
+        data.append((conv, None if i % 50 == 49 else i, "u", body, "x"))
+        told[conv].append(quotes.parse(body)[0])
+    got = {(x.conv, x.turn): x.parent_turn for x in quotes.linked_messages(messages(spark, data).repartition(3)).collect() if x.parent_turn is not None}
+    want = brute_parents(data)
+    assert got == want and len(want) > 80
+
+
+def test_one_passage_in_thousands_of_messages(spark):
+    data = [("c", i, "u", "> said by all\nsaid by all" if i % 2 else "said by all", "x") for i in range(4000)]
+    got = {r.turn: r.parent_turn for r in quotes.linked_messages(messages(spark, data)).collect()}
+    assert all(got[i] == (i - 1 if i % 2 else None) for i in range(4000))
+
+
+def test_a_very_long_message(spark):
+    long = "\n".join(f"line number {i} of many." for i in range(30_000))
+    data = [("c", 0, "u", long, "x"), ("c", 1, "u", "> line number 17000 of many.\n> line number 17001 of many.\nyes", "x"), ("c", 2, "u", "\n".join("> " + x for x in long.split("\n")), "x")]
+    got = {r.turn: (r.parent_turn, r.text) for r in quotes.linked_messages(messages(spark, data)).collect()}
+    assert got[1] == (0, "yes") and got[2] == (0, "") and got[0] == (None, long)
+
+
 def test_levels():
     assert quotes.quote_level(">> a") == (2, "a") and quotes.quote_level(" > > a") == (2, "a") and quotes.quote_level("a > b") == (0, "a > b")
     assert quotes.parse("a\n> b\n>> c\n> d\ne") == ("a\ne", [(1, "b"), (2, "c"), (1, "d")])
@@ -160,7 +228,7 @@ PAGES = [
 @pytest.mark.parametrize("segment", [50, 4096, 1 << 20])
 def test_archives_come_back(spark, tmp_path, segment):
     df = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, record_type string").repartition(3)
-    got = warc.archive_round_trip(df, f"file://{tmp_path}/w", segment_bytes=segment, records_per_file=5).collect()
+    got = warc.archive_round_trip(df, f"file://{tmp_path}/w", segment_bytes=segment, file_bytes=5 * (segment + 512)).collect()
     want = Counter()
     for i, _, h in PAGES:
         data = (h or "").encode()
@@ -171,6 +239,42 @@ def test_archives_come_back(spark, tmp_path, segment):
     whole = warc.read_warc(spark, f"file://{tmp_path}/w").filter("record_type = 'response'").collect()
     assert Counter(bytes(r.payload) for r in whole)[("é" * 40_000 + PAGES[2][2][-35:]).encode()] >= 0
     assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in whole)
+    records = [h for f in (tmp_path / "w").glob("part-*.gz") for h, _ in warc.parse_records(f.read_bytes())]
+    names = Counter(h["warc-record-id"] for h in records)
+    assert max(names.values()) == 1
+    refers = [h["warc-refers-to"] for h in records if h["warc-type"] == "revisit"]
+    assert refers and all(x in names for x in refers)
+
+
+@pytest.mark.parametrize("most", [0, 3000, 1 << 20])
+def test_segments_come_together_within_and_across_files(spark, tmp_path, most):
+    """Files of three records cut most pages' segments apart; a small bound sends all of them through the shuffle."""
+    df = spark.createDataFrame([(i, "u", f"{i} " * (300 * i)) for i in range(1, 30)], "page_id long, url string, html string").repartition(2)
+    warc.write_warc(df, f"file://{tmp_path}/w", segment_bytes=700, file_bytes=3 * 1212)
+    got = warc.read_warc(spark, f"file://{tmp_path}/w", most_bytes=most).collect()
+    assert sorted(bytes(r.payload).decode() for r in got) == sorted(f"{i} " * (300 * i) for i in range(1, 30)) and all(r.verified for r in got)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(i, "u", "x" * 30_000 + str(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, f"file://{tmp_path}/w", segment_bytes=2000, file_bytes=50_000)
+    sizes = [len(gzip.open(f).read()) for f in (tmp_path / "w").glob("part-*.gz")]
+    assert len(sizes) > 20 and max(sizes) < 60_000
+
+
+def test_records_are_found_in_any_packing():
+    import gzip
+
+    parts = [warc.record("response", [("WARC-Record-ID", f"<{i}>")], b"b" * i) + b"\r\n\r\n" for i in (0, 5, 200_000, 3)]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        assert [(h["warc-record-id"], len(b)) for h, b in warc.parse_records(data)] == [("<0>", 0), ("<5>", 5), ("<200000>", 200_000), ("<3>", 3)]
+    assert list(warc.parse_records(b"")) == [] and list(warc.parse_records(gzip.compress(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.parse_records(parts[1][:-8]))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(b"nothing of the kind\r\n\r\n"))
 
 
 def test_a_lost_segment_is_told(spark, tmp_path):
@@ -178,7 +282,7 @@ def test_a_lost_segment_is_told(spark, tmp_path):
     warc.write_warc(df, f"file://{tmp_path}/w", segment_bytes=4096)
     import gzip
 
-    source = next((tmp_path / "w").glob("part-*.gz"))
+    source = max((tmp_path / "w").glob("part-*.gz"), key=lambda f: f.stat().st_size)
     found = list(warc.parse_records(source.read_bytes()))
     (tmp_path / "v").mkdir()
     with gzip.open(tmp_path / "v" / "a.gz", "wb") as f:
