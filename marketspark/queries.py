@@ -16,6 +16,7 @@ from marketspark.functions import text as X
 from marketspark.functions import times as T
 from marketspark.functions.scan import ema
 from marketspark.operators import bars as B
+from marketspark.operators import blocks
 from marketspark.operators import indicators as I
 from marketspark.operators import labels, ledger, momentum, orders, quality, regime, risk, universe
 from marketspark.plans import momentum_ledger, range_ledger, sql
@@ -55,6 +56,16 @@ def with_prices(spark, d):
     return D.with_session(D.candles(spark, d))
 
 
+#: Bars whose windows are worked out together: a week of one symbol, and the guests before it.
+WEEK = 7 * 86_400
+ATR_ROWS = blocks.memory(wilder=(14,)) + 1
+ADX_ROWS = blocks.memory(wilder=(14, 14)) + 2
+
+
+def by_week(df: DataFrame, compute, before: int = 0, after: int = 0) -> DataFrame:
+    return blocks.over_blocks(df, compute, WEEK, before, after)
+
+
 # --- bars -------------------------------------------------------------------------------------------------
 
 
@@ -207,18 +218,19 @@ def timeline_counts(spark, d):
 
 @query("true_range", "trades", "candles", "bars", select="SELECT symbol, timestamp, round(tr, 6) AS tr FROM bars")
 def true_range(spark, d):
-    return I.with_true_range(D.candles(spark, d)).select("symbol", "timestamp", *r6("tr"))
+    return by_week(D.candles(spark, d), I.with_true_range, 1).select("symbol", "timestamp", *r6("tr"))
 
 
 @query("directional_moves", "trades", "candles", "bars", select="SELECT symbol, timestamp, round(pdm, 6) AS pdm, round(mdm, 6) AS mdm FROM bars")
 def directional_moves(spark, d):
     plus, minus = P.directional_moves(F.lag("high").over(I.by()), F.lag("low").over(I.by()))
-    return D.candles(spark, d).select("symbol", "timestamp", F.round(plus, 6).alias("pdm"), F.round(minus, 6).alias("mdm"))
+    moves = by_week(D.candles(spark, d), lambda c: c.withColumns({"pdm": plus, "mdm": minus}), 1)
+    return moves.select("symbol", "timestamp", *r6("pdm", "mdm"))
 
 
 @query("atr", "trades", "candles", "bars", wilder_sql("a", "bars", "tr", 14), select="SELECT b.symbol, b.timestamp, round(a.y, 6) AS atr FROM bars b LEFT JOIN a USING (symbol, rn)", recursive=True)
 def atr(spark, d):
-    return I.with_atr(D.candles(spark, d)).select("symbol", "timestamp", *r6("atr"))
+    return by_week(D.candles(spark, d), I.with_atr, ATR_ROWS).select("symbol", "timestamp", *r6("atr"))
 
 
 ADX_SQL = (
@@ -241,12 +253,13 @@ ADX_SQL = (
     recursive=True,
 )
 def adx(spark, d):
-    return I.with_adx(D.candles(spark, d)).select("symbol", "timestamp", *r6("adx", "plus_di", "minus_di"))
+    return by_week(D.candles(spark, d), I.with_adx, ADX_ROWS).select("symbol", "timestamp", *r6("adx", "plus_di", "minus_di"))
 
 
 @query("ema", "trades", "candles", "bars", ema_sql("e", "bars", "close", 20), select="SELECT b.symbol, b.timestamp, round(e.y, 6) AS ema FROM bars b JOIN e USING (symbol, rn)", recursive=True)
 def ema_query(spark, d):
-    return ema(D.candles(spark, d), I.KEY, I.ORDER, {"ema": ("close", 20, 1)}).select("symbol", "timestamp", *r6("ema"))
+    means = by_week(D.candles(spark, d), lambda c: ema(c, I.KEY, I.ORDER, {"ema": ("close", 20, 1)}), blocks.memory(20))
+    return means.select("symbol", "timestamp", *r6("ema"))
 
 
 @query(
@@ -261,7 +274,7 @@ def ema_query(spark, d):
     recursive=True,
 )
 def ema_slope(spark, d):
-    return I.with_ema_slope(I.with_atr(D.candles(spark, d))).select("symbol", "timestamp", *r6("ema_slope"))
+    return by_week(D.candles(spark, d), lambda c: I.with_ema_slope(I.with_atr(c)), max(ATR_ROWS, blocks.memory(50) + 5)).select("symbol", "timestamp", *r6("ema_slope"))
 
 
 @query(
@@ -272,7 +285,8 @@ def ema_slope(spark, d):
     select="""SELECT symbol, timestamp, round(sum((high + low + close) / 3 * volume) OVER w / nullif(sum(volume) OVER w, 0), 6) AS vwap FROM bars WINDOW w AS (PARTITION BY symbol, session ORDER BY timestamp)""",
 )
 def session_vwap(spark, d):
-    return with_prices(spark, d).select("symbol", "timestamp", F.round(I.session_vwap(), 6).alias("vwap"))
+    # a session has 24 hours
+    return by_week(with_prices(spark, d), lambda c: c.withColumn("vwap", I.session_vwap()), 24).select("symbol", "timestamp", *r6("vwap"))
 
 
 @query(
@@ -283,7 +297,7 @@ def session_vwap(spark, d):
   WINDOW w AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_vwap(spark, d):
-    return D.candles(spark, d).select("symbol", "timestamp", F.round(I.rolling_vwap(24), 6).alias("vwap"))
+    return by_week(D.candles(spark, d), lambda c: c.withColumn("vwap", I.rolling_vwap(24)), 23).select("symbol", "timestamp", *r6("vwap"))
 
 
 @query(
@@ -297,7 +311,7 @@ def rolling_vwap(spark, d):
     recursive=True,
 )
 def z_bands(spark, d):
-    out = I.with_atr(with_prices(spark, d)).withColumn("center", I.session_vwap())
+    out = by_week(with_prices(spark, d), lambda c: I.with_atr(c).withColumn("center", I.session_vwap()), ATR_ROWS)
     low, high = P.bands("center", "atr", 2.0)
     return out.select("symbol", "timestamp", F.round(P.in_atr(F.col("close") - F.col("center")), 6).alias("z"), F.round(low, 6).alias("lower_band"), F.round(high, 6).alias("upper_band"))
 
@@ -310,7 +324,7 @@ def z_bands(spark, d):
   WINDOW w AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_percentile(spark, d):
-    return D.candles(spark, d).select("symbol", "timestamp", F.round(I.rolling_percentile("close", 50), 6).alias("percentile"))
+    return by_week(D.candles(spark, d), lambda c: c.withColumn("percentile", I.rolling_percentile("close", 50)), 49).select("symbol", "timestamp", *r6("percentile"))
 
 
 @query(
@@ -322,7 +336,7 @@ def rolling_percentile(spark, d):
 )
 def breakout(spark, d):
     high, low = I.breakout(20)
-    return D.candles(spark, d).select("symbol", "timestamp", high.alias("breakout_high"), low.alias("breakout_low"))
+    return by_week(D.candles(spark, d), lambda c: c.withColumns({"breakout_high": high, "breakout_low": low}), 20).select("symbol", "timestamp", "breakout_high", "breakout_low")
 
 
 @query(
@@ -333,7 +347,7 @@ def breakout(spark, d):
   WINDOW w AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
 )
 def volume_zscore(spark, d):
-    return D.candles(spark, d).select("symbol", "timestamp", F.round(I.volume_zscore(20), 6).alias("volume_zscore"))
+    return by_week(D.candles(spark, d), lambda c: c.withColumn("volume_zscore", I.volume_zscore(20)), 20).select("symbol", "timestamp", *r6("volume_zscore"))
 
 
 @query(
@@ -350,27 +364,26 @@ def volume_zscore(spark, d):
     recursive=True,
 )
 def price_changes(spark, d):
-    c = I.with_atr(D.candles(spark, d))
     back = lambda k: F.col("close") - F.lag("close", k).over(I.by())
-    return c.select(
-        "symbol",
-        "timestamp",
-        F.round(I.lagged_change("close", 1), 6).alias("r1"),
-        F.round(I.lagged_change("close", 3), 6).alias("r3"),
-        F.round(I.lagged_change("close", 12), 6).alias("r12"),
-        F.round(P.in_atr(back(3)), 6).alias("cumulative_move"),
-        F.round(P.in_atr(F.abs(I.lagged_change("close", 3)) * F.col("close")), 6).alias("three_bar_atr"),
-        F.round(P.in_atr(F.col("high") - F.col("low")), 6).alias("range_atr"),
-        F.round(P.in_atr(back(12)), 6).alias("momentum_atr"),
-        F.round(P.finite(I.lagged_change("atr", 1)), 6).alias("atr_change"),
-    )
+    changes = {
+        "r1": I.lagged_change("close", 1),
+        "r3": I.lagged_change("close", 3),
+        "r12": I.lagged_change("close", 12),
+        "cumulative_move": P.in_atr(back(3)),
+        "three_bar_atr": P.in_atr(F.abs(I.lagged_change("close", 3)) * F.col("close")),
+        "range_atr": P.in_atr(F.col("high") - F.col("low")),
+        "momentum_atr": P.in_atr(back(12)),
+        "atr_change": P.finite(I.lagged_change("atr", 1)),
+    }
+    return by_week(D.candles(spark, d), lambda c: I.with_atr(c).withColumns(changes), ATR_ROWS + 12).select("symbol", "timestamp", *r6(*changes))
 
 
 # --- regimes and signals ----------------------------------------------------------------------------------
 
 
 def range_table(spark, d, config: RangeConfig = RANGE):
-    out = I.range_features(with_prices(spark, d), config)
+    rows = max(ADX_ROWS, blocks.memory(config.ema_period) + config.slope_lookback) + config.percentile_window
+    out = by_week(with_prices(spark, d), lambda c: I.range_features(c, config), rows)
     out = out.withColumns({"spread_bps": (F.col("volume") % 6)})
     return out.withColumn("candidate", regime.raw_regime(config))
 
@@ -523,8 +536,8 @@ def momentum_regime(spark, d):
     select="SELECT s.symbol, s.timestamp, coalesce(h.label, 0) AS label FROM s LEFT JOIN h USING (symbol, rn)",
 )
 def triple_barrier(spark, d):
-    c = D.candles(spark, d)
-    return c.select("symbol", "timestamp", labels.triple_barrier(12, F.lit(True), F.col("close") - 100, F.col("close") + 120).alias("label"))
+    label = labels.triple_barrier(12, F.lit(True), F.col("close") - 100, F.col("close") + 120)
+    return by_week(D.candles(spark, d), lambda c: c.withColumn("label", label), after=12).select("symbol", "timestamp", "label")
 
 
 @query(
