@@ -163,7 +163,7 @@ class Transducer:
 class WordBpe:
     """A tokenizer file of the word-end kind: NFC, white space to one space, lower case, split, merge."""
 
-    def __init__(self, path: str, table_bytes: int = 20 << 20):
+    def __init__(self, path: str, table_bytes: int = 64 << 20):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         model = said["model"]

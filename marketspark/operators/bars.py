@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.times import bucket
+from marketspark.operators.blocks import running
 
 
 def resample(df: DataFrame, seconds: int, closed: str = "left", label: str = "right", tie: str | None = None) -> DataFrame:
@@ -113,16 +114,16 @@ def with_session(df: DataFrame, sessions: DataFrame, outside: str = "fail") -> D
     return out.filter(F.when(F.col("market_open").isNotNull(), True).otherwise(told))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, columns: Sequence[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, columns: Sequence[str], seconds: int = 7 * 86_400) -> DataFrame:
     """Left rows with the columns of the last right row at or before them.
 
-    A union and a running last value: one shuffle and one sort by key, no range join.
+    A union and a running last value over blocks of ``seconds``: no range join, and a
+    key with most of the rows is spread over its blocks.
     """
     a = left.withColumn("_side", F.lit(1))
     b = right.select(*keys, on, F.struct(*columns).alias("_context"), F.lit(0).alias("_side"))
     both = a.unionByName(b, allowMissingColumns=True)
-    by = Window.partitionBy(*keys).orderBy(on, "_side")
-    held = both.withColumn("_held", F.last("_context", ignorenulls=True).over(by)).filter("_side = 1")
+    held = running(both, list(keys), [on, "_side"], seconds, lasts={"_held": F.col("_context")}).filter("_side = 1")
     return held.select(*left.columns, *[F.col(f"_held.{c}").alias(c) for c in columns])
 
 

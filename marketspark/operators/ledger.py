@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.blocks import running
 
-def max_drawdown(equity: DataFrame, keys: Sequence[str] = (), order: str = "timestamp") -> DataFrame:
+#: Rows of a key that are worked out together.
+QUARTER = 90 * 86_400
+
+
+def max_drawdown(equity: DataFrame, keys: Sequence[str] = (), order: str = "timestamp", seconds: int = QUARTER) -> DataFrame:
     """Largest share of a running peak that was lost, per key."""
-    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     lost = F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("equity")) / F.col("_peak"))
-    return equity.withColumn("_peak", F.max("equity").over(by)).groupBy(*keys).agg(F.coalesce(F.max(lost), F.lit(0.0)).alias("max_drawdown"))
+    return running(equity, keys, [order], seconds, maxima={"_peak": F.col("equity")}).groupBy(*keys).agg(F.coalesce(F.max(lost), F.lit(0.0)).alias("max_drawdown"))
 
 
 def pnl_summary(fills: DataFrame, key: str = "symbol") -> DataFrame:
@@ -47,12 +51,10 @@ def portfolio_heat(positions: DataFrame, keys: Sequence[str] = ("account",)) ->
     return positions.groupBy(*keys).agg(F.sum("risk_amount").alias("heat"))
 
 
-def operations(fills: DataFrame, key: str = "symbol", order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Each fill with the position before and after and what it did to it."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def operations(fills: DataFrame, key: str = "symbol", order: Sequence[str] = ("timestamp",), seconds: int = QUARTER) -> DataFrame:
+    """Each fill with the position before and after and what it did to it. ``order`` begins with a time."""
     signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
-    out = fills.withColumn("_signed", signed).withColumn("after", F.sum("_signed").over(by))
-    out = out.withColumn("before", F.col("after") - F.col("_signed")).drop("_signed")
+    out = running(fills, [key], order, seconds, sums={"after": signed}).withColumn("before", F.col("after") - signed)
     before, after = F.col("before"), F.col("after")
     what = (
         F.when((before == 0) & (after > 0), "OPEN LONG")
@@ -74,12 +76,11 @@ def change_points(df: DataFrame, columns: Sequence[str], key: str = "symbol", or
     return df.withColumn("_changed", changed).filter("_changed").drop("_changed")
 
 
-def loss_streaks(trades: DataFrame, key: str = "account", order: str = "timestamp", pnl: str = "pnl") -> DataFrame:
-    """Adds the number of losses in a row up to each trade."""
-    by = Window.partitionBy(key).orderBy(order)
-    out = trades.withColumn("_wins", F.sum(F.when(F.col(pnl) >= 0, 1).otherwise(0)).over(by))
-    streak = F.sum(F.when(F.col(pnl) < 0, 1).otherwise(0)).over(Window.partitionBy(key, "_wins").orderBy(order))
-    return out.withColumn("consecutive_losses", streak).drop("_wins")
+def loss_streaks(trades: DataFrame, key: str = "account", order: Sequence[str] = ("timestamp",), pnl: str = "pnl", seconds: int = QUARTER) -> DataFrame:
+    """Adds the number of losses in a row up to each trade. ``order`` begins with a time."""
+    out = running(trades, [key], order, seconds, sums={"_losses": F.when(F.col(pnl) < 0, 1).otherwise(0)})
+    out = running(out, [key], order, seconds, lasts={"_till_win": F.when(F.col(pnl) >= 0, F.col("_losses"))})
+    return out.withColumn("consecutive_losses", F.col("_losses") - F.coalesce("_till_win", F.lit(0))).drop("_losses", "_till_win")
 
 
 def summary(telemetry: DataFrame, fills: DataFrame) -> DataFrame:

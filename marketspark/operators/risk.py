@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketspark.config import Instrument, PortfolioRisk, RiskLimits, UniverseLimits
 from marketspark.functions import price as P
 from marketspark.functions.text import first_reason
+from marketspark.operators.blocks import running
 
 
 def block_reason(limits: RiskLimits) -> Column:
@@ -96,15 +97,16 @@ def admits(kill_switch: Column | str = "kill_switch") -> Column:
     return ~active | F.col("protective") | F.col("reduce_only")
 
 
-def kill_switch(equity: DataFrame, limits: RiskLimits, key: str = "account", order: str = "timestamp", day: str = "day", week: str = "week") -> DataFrame:
-    """Adds day and week start, peak, drawdown, the bar's cause, and the latched switch with its first cause."""
-    by = Window.partitionBy(key).orderBy(order)
-    running = by.rowsBetween(Window.unboundedPreceding, 0)
-    out = equity.withColumns(
+def kill_switch(equity: DataFrame, limits: RiskLimits, key: str = "account", order: str = "timestamp", day: str = "day", week: str = "week", seconds: int = 90 * 86_400) -> DataFrame:
+    """Adds day and week start, peak, drawdown, the bar's cause, and the latched switch with its first cause.
+
+    Windows hash on the account and a week or a block of ``seconds``.
+    """
+    out = running(equity, [key], [order], seconds, maxima={"peak_equity": F.col("equity")})
+    out = out.withColumns(
         {
-            "day_start_equity": F.first("equity").over(Window.partitionBy(key, day).orderBy(order)),
             "week_start_equity": F.first("equity").over(Window.partitionBy(key, week).orderBy(order)),
-            "peak_equity": F.max("equity").over(running),
+            "day_start_equity": F.first("equity").over(Window.partitionBy(key, week, day).orderBy(order)),
         }
     )
     cause = first_reason(
@@ -113,4 +115,5 @@ def kill_switch(equity: DataFrame, limits: RiskLimits, key: str = "account", ord
         (P.drawdown("equity", "peak_equity") >= limits.max_drawdown, "drawdown"),
     )
     out = out.withColumns({"drawdown": P.drawdown("equity", "peak_equity"), "cause": cause})
-    return out.withColumns({"latched_cause": F.first("cause", ignorenulls=True).over(running)}).withColumn("latched", F.col("latched_cause").isNotNull())
+    out = running(out, [key], [order], seconds, firsts={"latched_cause": F.col("cause")})
+    return out.withColumn("latched", F.col("latched_cause").isNotNull())

@@ -879,13 +879,13 @@ def mark_to_market(spark, d):
 
 @query(
     "loss_streaks",
-    select="""WITH t AS (SELECT o_custkey AS account, o_orderkey AS n, CASE WHEN o_totalprice < 200000 THEN -1.0 ELSE 1.0 END AS pnl FROM orders),
-w AS (SELECT *, sum(CASE WHEN pnl >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account ORDER BY n) AS k FROM t)
-SELECT account, n, CAST(sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account, k ORDER BY n) AS BIGINT) AS consecutive_losses FROM w""",
+    select="""WITH t AS (SELECT o_custkey AS account, o_orderdate AS moment, o_orderkey AS n, CASE WHEN o_totalprice < 200000 THEN -1.0 ELSE 1.0 END AS pnl FROM orders),
+w AS (SELECT *, sum(CASE WHEN pnl >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account ORDER BY moment, n) AS k FROM t)
+SELECT account, n, CAST(sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account, k ORDER BY moment, n) AS BIGINT) AS consecutive_losses FROM w""",
 )
 def loss_streaks(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("n"), F.when(F.col("o_totalprice") < 200000, -1.0).otherwise(1.0).alias("pnl"))
-    return ledger.loss_streaks(o, order="n").select("account", "n", "consecutive_losses")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("n"), F.when(F.col("o_totalprice") < 200000, -1.0).otherwise(1.0).alias("pnl"))
+    return ledger.loss_streaks(o, order=["at", "n"]).select("account", "n", "consecutive_losses")
 
 
 # --- SQL pass-through -------------------------------------------------------------------------------------

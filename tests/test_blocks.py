@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marketspark.functions.scan import smooth
 from marketspark.operators import indicators as I
 from marketspark.operators import labels
-from marketspark.operators.blocks import memory, over_blocks
+from marketspark.operators.blocks import memory, over_blocks, running
 
 T0 = pd.Timestamp("2025-03-03")
 
@@ -54,3 +54,17 @@ def test_a_symbol_is_spread_over_tasks(walks):
     got = over_blocks(walks, lambda c: I.with_true_range(c).withColumn("task", F.spark_partition_id()), 86_400, 1)
     assert got.filter("symbol = 'hot'").select("task").distinct().count() > 1
     assert over_blocks(walks.limit(0), I.with_true_range, 60, 3).count() == 0
+
+
+@pytest.mark.parametrize("seconds", [600, 86_400, 10**9])
+def test_running_values_do_not_see_the_blocks(walks, seconds):
+    from pyspark.sql import Window
+
+    some = F.when(F.col("volume") > 90, F.col("close"))
+    by = Window.partitionBy("symbol").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    want = walks.withColumns({"s": F.sum(F.col("volume")).over(by), "m": F.max("close").over(by), "f": F.first(some, ignorenulls=True).over(by), "l": F.last(some, ignorenulls=True).over(by)})
+    got = running(walks, ["symbol"], ["timestamp"], seconds, {"s": F.col("volume")}, {"m": F.col("close")}, {"f": some}, {"l": some})
+    assert got.columns == want.columns
+    a, b = (pd.DataFrame(values(x, ["s", "m", "f", "l"])) for x in (got, want))
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-6)
+    assert running(walks.limit(0), ["symbol"], ["timestamp"], seconds, {"s": F.col("volume")}).count() == 0
