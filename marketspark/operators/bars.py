@@ -127,11 +127,14 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, column
     return held.select(*left.columns, *[F.col(f"_held.{c}").alias(c) for c in columns])
 
 
-def stride_sample(df: DataFrame, most: int, order: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Every k-th row so that at most about ``most`` are left; the last always."""
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    n = F.count("*").over(Window.partitionBy(*keys)) if keys else F.count("*").over(Window.partitionBy())
-    out = df.withColumns({"_i": F.row_number().over(w), "_n": n})
+def stride_sample(df: DataFrame, most: int, order: str, keys: Sequence[str] = (), seconds: int = 7 * 86_400) -> DataFrame:
+    """Every k-th row so that at most about ``most`` are left; the last always. Rows are numbered over blocks of ``seconds``."""
+    total = df.groupBy(*keys).agg(F.count("*").alias("_n")).select("_n", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    numbered = running(df, list(keys), [order], seconds, sums={"_i": F.lit(1)})
+    out = (numbered.join(total, met) if keys else numbered.join(F.broadcast(total), met)).drop(*[f"_k{i}" for i in range(len(keys))])  # without keys: one row
     step = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
     return out.filter((F.pmod(F.col("_i") - 1, step) == 0) | (F.col("_i") == F.col("_n"))).drop("_i", "_n")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketspark.config import MomentumConfig, RangeConfig
+from marketspark.operators.blocks import over_blocks, running
 from marketspark.operators.indicators import by
 
 
@@ -31,20 +32,23 @@ def raw_regime(config: RangeConfig, spread: Column | str = "spread_bps", missing
     )
 
 
-def confirmed(df: DataFrame, candidate: str, bars: int = 3, name: str = "regime") -> DataFrame:
+def confirmed(df: DataFrame, candidate: str, bars: int = 3, name: str = "regime", seconds: int = 7 * 86_400) -> DataFrame:
     """Adds the regime that has held for ``bars`` bars, shock at once; and what is pending, for how long.
 
     The last candidate that was a shock, or that ended a run of at least ``bars``
-    equal ones, is the regime: run lengths and a running last value say it all.
+    equal ones, is the regime: how long a run is matters up to ``bars`` only, and the
+    rest is a running last value. Both are split by blocks of ``seconds``.
     """
-    out = df.withColumn("_new", F.coalesce((F.col(candidate) != F.lag(candidate).over(by())).cast("int"), F.lit(0)))
-    out = out.withColumn("_run", F.sum("_new").over(by()))
-    out = out.withColumn("_length", F.row_number().over(Window.partitionBy("symbol", "_run").orderBy("timestamp")))
+    alike, length = F.lit(True), F.lit(1)
+    for k in range(1, bars):
+        alike = alike & F.coalesce(F.lag(candidate, k).over(by()) == F.col(candidate), F.lit(False))
+        length = length + alike.cast("int")
+    out = over_blocks(df, lambda c: c.withColumn("_length", length), seconds, bars - 1) if bars > 1 else df.withColumn("_length", length)
     sure = F.when((F.col(candidate) == "shock") | (F.col("_length") >= bars), F.col(candidate))
-    out = out.withColumn(name, F.coalesce(F.last(sure, ignorenulls=True).over(by()), F.lit("unknown")))
+    out = running(out, ["symbol"], ["timestamp"], seconds, lasts={name: sure})
+    out = out.withColumn(name, F.coalesce(name, F.lit("unknown")))
     waits = F.col(candidate) != F.col(name)
-    out = out.withColumns({f"pending_{name}": F.when(waits, F.col(candidate)), "pending_count": F.when(waits, F.col("_length")).otherwise(0)})
-    return out.drop("_new", "_run", "_length")
+    return out.withColumns({f"pending_{name}": F.when(waits, F.col(candidate)), "pending_count": F.when(waits, F.col("_length")).otherwise(0)}).drop("_length")
 
 
 #: Features the momentum strategy can't do without.

@@ -22,6 +22,7 @@ from marketspark.operators import labels, ledger, momentum, orders, quality, reg
 from marketspark.plans import momentum_ledger, range_ledger, sql
 from marketspark.sources import derived as D
 from marketspark.sources.derived import SQL, ema_sql, table, wilder_sql
+from marketspark.sources.shared import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,7 +64,8 @@ ADX_ROWS = blocks.memory(wilder=(14, 14)) + 2
 
 
 def by_week(df: DataFrame, compute, before: int = 0, after: int = 0) -> DataFrame:
-    return blocks.over_blocks(df, compute, WEEK, before, after)
+    """Bars are written once, for blocks look at them more than once."""
+    return blocks.over_blocks(materialise(df, "bars"), compute, WEEK, before, after)
 
 
 # --- bars -------------------------------------------------------------------------------------------------
@@ -385,7 +387,7 @@ def range_table(spark, d, config: RangeConfig = RANGE):
     rows = max(ADX_ROWS, blocks.memory(config.ema_period) + config.slope_lookback) + config.percentile_window
     out = by_week(with_prices(spark, d), lambda c: I.range_features(c, config), rows)
     out = out.withColumns({"spread_bps": (F.col("volume") % 6)})
-    return out.withColumn("candidate", regime.raw_regime(config))
+    return materialise(out.withColumn("candidate", regime.raw_regime(config)), "features")
 
 
 RANGE_SQL = (
