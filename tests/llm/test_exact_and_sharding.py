@@ -12,6 +12,27 @@ def norm(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+def test_words_are_known_in_bounded_bytes():
+    from marketspark.llm.common import Known
+
+    asked = []
+    known = Known(lambda w: asked.append(w) or w.upper(), 20_000, entry=100)
+    for i in range(2000):
+        assert known[f"w{i}"] == f"W{i}" and known["often"] == "OFTEN"
+        assert len(known) + len(known.older) < 200
+    assert asked.count("often") == 1 and known["x" * 5000] == "X" * 5000 and "x" * 5000 not in known
+
+
+def test_batches_are_cut_small():
+    import pyarrow as pa
+
+    from marketspark.llm.common import small
+
+    batch = pa.RecordBatch.from_pydict({"i": range(5000), "t": ["x" * 1000] * 4999 + [None]})
+    parts = list(small([batch, batch.slice(0, 0)], most_bytes=100_000))
+    assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(5000)) and max(p.num_rows for p in parts) <= 100
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 @pytest.mark.parametrize("bits", [1, 3])
 def test_exact_dedup_equals_brute_force(make, hard, keep, bits):
