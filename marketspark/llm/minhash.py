@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import Known, column_of, drop_tables, id_and_text, materialise, small
+from marketspark.llm.common import column_of, drop_tables, id_and_text, materialise, small
 from marketspark.llm.components import components
 
 #: Documents that hold a shingle, as a share of all, up to which its idf is highest.
@@ -58,11 +58,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = Known(lambda word: xxhash.xxh3_64_digest(word.encode("utf-8", "replace")), 20 << 20)
-
-
 def word_hashes(text: str) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_WORDS.__getitem__, text.lower().split())), np.uint64)
+    """A hash per word; hashing a word takes less time than looking it up in a table of words would."""
+    digest = xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(w.encode("utf-8", "replace")) for w in text.lower().split()]), np.uint64)
 
 
 def occurrences(text: str, width: int = 5) -> np.ndarray:
