@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.llm.common import column_of
@@ -67,6 +67,25 @@ class UrlPolicy:
         return best
 
 
+def load_policy(spark: SparkSession, path: str, rules: Sequence[Rule] = (), soft_needed: int = 2) -> UrlPolicy:
+    """A policy whose vocabulary is read from text files: a line is ``strict`` or ``soft``, white space, and a term.
+
+    Empty lines and lines that begin with ``#`` are passed over; a term told twice is
+    one; a term told both ways is strict; any other line is an error. The vocabulary
+    goes to the driver and to every task, so it is the one thing here that must fit there.
+    """
+    terms: dict[str, set[str]] = {"strict": set(), "soft": set()}
+    for row in spark.read.text(path).collect():
+        line = row.value.strip()
+        if not line or line.startswith("#"):
+            continue
+        kind, _, term = line.partition(" " if "\t" not in line else "\t")
+        if kind not in terms or not term.strip():
+            raise ValueError(f"not a term of the vocabulary: {line!r}")
+        terms[kind].add(term.strip().lower())
+    return UrlPolicy(rules, tuple(sorted(terms["strict"])), tuple(sorted(terms["soft"] - terms["strict"])), soft_needed)
+
+
 class TermCounter:
     """Counts the distinct strict and soft terms that stand between boundaries."""
 

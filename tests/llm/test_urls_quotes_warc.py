@@ -43,6 +43,17 @@ def test_urls_by_hand(spark):
     assert url_filter.allowed_pages(odd, queries.POLICY, "a.url").count() == kept.count() and url_filter.allowed_pages(df.limit(0), queries.POLICY).count() == 0
 
 
+def test_a_vocabulary_is_read_from_files(spark, tmp_path):
+    f = tmp_path / "terms.txt"
+    f.write_text("# terms\n\nstrict\tBad Word\nsoft meh\nsoft meh\nsoft\tdull\nstrict dull\n")
+    policy = url_filter.load_policy(spark, str(f))
+    assert policy.strict == ("bad word", "dull") and policy.soft == ("meh",)
+    assert url_filter.TermCounter(policy)("x/bad word/meh/meh") == (["bad word"], ["meh"])
+    f.write_text("soso term")
+    with pytest.raises(ValueError):
+        url_filter.load_policy(spark, str(f))
+
+
 def test_rules_are_checked():
     with pytest.raises(ValueError):
         url_filter.UrlPolicy([url_filter.Rule("maybe", "com/")])
