@@ -1,5 +1,10 @@
 """A corpus from documents: good ones, each text once, one of each near-duplicate class, packed.
 
+Every stage takes null, empty and very long texts, repeated rows and columns of any
+name: null is the empty text, repeated rows are rows, and only the columns doc_id and
+text are looked at. An empty table goes through to an empty result. A null identifier
+is judged by its text, never wins over others among copies, and is no near copy.
+
 Counts as part of the subpackage ``marketspark.llm``.
 """
 
