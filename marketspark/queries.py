@@ -57,15 +57,17 @@ def with_prices(spark, d):
     return D.with_session(D.candles(spark, d))
 
 
-#: Bars whose windows are worked out together: a week of one symbol, and the guests before it.
+#: Hourly bars whose windows are worked out together: a week of one symbol, and the guests before it.
 WEEK = 7 * 86_400
+#: For windows that look farther back than a week has bars, so that a block holds more than it borrows.
+MONTH = 30 * 86_400
 ATR_ROWS = blocks.memory(wilder=(14,)) + 1
 ADX_ROWS = blocks.memory(wilder=(14, 14)) + 2
 
 
 def by_week(df: DataFrame, compute, before: int = 0, after: int = 0) -> DataFrame:
     """Bars are written once, for blocks look at them more than once."""
-    return blocks.over_blocks(materialise(df, "bars"), compute, WEEK, before, after)
+    return blocks.over_blocks(materialise(df, "bars"), compute, WEEK if max(before, after) < 168 else MONTH, before, after)
 
 
 # --- bars -------------------------------------------------------------------------------------------------
