@@ -94,14 +94,14 @@ class PollReader(SimpleDataSourceStreamReader):
         most = self.ends if self.ends is not None else int(time.time() * 1000)
         rows, end = [], dict(start)
         for symbol in self.inner.symbols:
-            at = start[symbol]
+            at, span = start[symbol], self.step
             while at < most:
-                found = self.bars(symbol, at, min(at + self.step, most))
-                at = min(at + self.step, most)
+                found = self.bars(symbol, at, min(at + span, most))
                 if found:
-                    rows += found
-                    end[symbol] = found[-1][1] + 1
+                    rows += (some := [r for r in found if r[1] < found[0][1] + self.step])
+                    end[symbol] = some[-1][1] + 1
                     break
+                at, span = at + span, 2 * span  # a long gap takes few requests
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
