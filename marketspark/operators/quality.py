@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,12 @@ REQUIRED = ("timestamp", "open", "high", "low", "close", "volume")
 REPORT = "symbol string, rows long, missing long, errors array<string>, warnings array<string>, score double, passed boolean"
 
 
-def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: float = 0.20, grid: DataFrame | None = None, split_adjusted: bool = True) -> DataFrame:
+def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: float = 0.20, grid: DataFrame | None = None, split_adjusted: bool = True, rules: Sequence[str] = ERRORS) -> DataFrame:
     """Per symbol: rows, missing, errors (array), warnings (array), score = max(0, 1 - (errors + missing) / (rows + missing)), passed.
 
-    Each error counts once. ``arrival`` numbers the rows as they came; jumps beyond
-    ``most_jump`` are excused by ``corporate_action``. A ``timestamp`` of text is
+    Each error counts once, and of ``ERRORS`` only those named in ``rules`` do. ``arrival``
+    numbers the rows as they came; jumps beyond ``most_jump`` are excused by
+    ``corporate_action``, and what follows a close of 0 is a jump. A ``timestamp`` of text is
     parsed, and one without an offset is an error. Missing are the bars of a grid of
     ``seconds`` from a symbol's first bar to its last that it doesn't have; bars off
     that grid don't count as any of them. With ``grid`` (``session_grid``'s) it is
@@ -60,6 +63,8 @@ def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: flo
     warning. Without rows, or without one of the columns, the report is one row
     that says so, for no symbol.
     """
+    if unknown := set(rules) - set(ERRORS):
+        raise ValueError(f"no such rules: {', '.join(sorted(unknown))}")
     lacking = [c for c in REQUIRED if c not in df.columns]
     if lacking:
         return _refused(df, f"missing columns: {', '.join(lacking)}")
@@ -73,14 +78,15 @@ def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: flo
     action = F.coalesce(F.col("corporate_action").cast("boolean"), F.lit(False)) if "corporate_action" in df.columns else F.lit(False)
     o, h, lo, c, v = (F.col(x).try_cast("double") for x in (*PRICES, "volume"))
     null = F.coalesce(o + h + lo + c + v, F.lit(float("nan")))
-    before = F.lag("timestamp").over(by_time)
+    before, close = F.lag("timestamp").over(by_time), F.lag(c).over(by_arrival)
+    jump = F.when(close == 0, c.isNotNull()).otherwise(F.abs(F.try_divide(c, close) - 1) > most_jump)
     at, first = F.unix_micros(F.col("timestamp").cast("timestamp")), F.unix_micros(F.min("timestamp").over(Window.partitionBy("symbol")).cast("timestamp"))
     flags = df.withColumns(
         {
             "_unordered": F.col("timestamp") < F.lag("timestamp").over(by_arrival),
             "_again": F.col("timestamp") == before,
             "_on_grid": F.pmod(at - first, F.lit(seconds * 1_000_000)) == 0,
-            "_jump": (F.abs(F.try_divide(c, F.lag(c).over(by_arrival)) - 1) > most_jump) & ~action,
+            "_jump": jump & ~action,
             "_null": F.isnan(null),
             "_zone": zoneless,
         }
@@ -109,7 +115,7 @@ def report(df: DataFrame, seconds: int, arrival: str = "ordinal", most_jump: flo
         absent = absent.select("symbol", F.col("_at").alias("timestamp")).join(df.select("symbol", "timestamp"), ["symbol", "timestamp"], "left_anti")
         got = got.drop("missing").join(absent.groupBy("symbol").agg(F.count("*").alias("missing")), "symbol", "left").fillna(0, ["missing"])
     got = got.withColumn("e10", F.col("missing") > 0)
-    errors = F.array_compact(F.array(*[F.when(F.col(f"e{i}"), F.lit(name)) for i, name in enumerate(ERRORS)]))
+    errors = F.array_compact(F.array(*[F.when(F.col(f"e{i}"), F.lit(name)) for i, name in enumerate(ERRORS) if name in rules]).cast("array<string>"))
     warnings = F.array(*([F.lit("split adjustment is not told")] if grid is not None and not split_adjusted else [])).cast("array<string>")
     got = got.withColumns({"errors": errors, "warnings": warnings})
     score = F.greatest(F.lit(0.0), 1 - (F.size("errors") + F.col("missing")) / F.greatest(F.lit(1), F.col("rows") + F.col("missing")))

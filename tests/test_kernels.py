@@ -166,6 +166,18 @@ def test_reports_see_what_is_missing(spark):
     assert quality.report(d.limit(0), 3600).first().errors == ["no rows"]
 
 
+def test_reports_look_for_the_rules_they_are_told(spark):
+    rows = [("s", 0, 0.0, -1.0, 0), ("s", 1, 1.0, 1.0, 1)]
+    d = spark.createDataFrame(rows, "symbol string, h int, close double, volume double, ordinal int")
+    d = d.selectExpr("*", "timestamp'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, h) timestamp", "close open", "close high", "close low")
+    assert quality.report(d, 3600).first().errors == ["non-positive price", "negative volume", "unexplained price jump"]
+    got = quality.report(d, 3600, rules=("negative volume",)).first()
+    assert got.errors == ["negative volume"] and got.score == pytest.approx(0.5) and not got.passed
+    assert quality.report(d, 3600, rules=()).first().passed
+    with pytest.raises(ValueError, match="no such rules: odd"):
+        quality.report(d, 3600, rules=("odd",))
+
+
 def test_bars_outside_sessions_are_errors(spark):
     from marketspark.operators import bars as B
 

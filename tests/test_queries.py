@@ -33,6 +33,17 @@ def test_collected_candles_with_prices_of_zero(spark, tmp_path):
     assert rows(got) == rows(want)
 
 
+def test_quality_report_with_prices_of_zero(spark, tmp_path):
+    """A low of 0, a close of 0 before and after others, closes of 0 only, a negative volume, a score that ends in a half."""
+    made = [(0, 1, "view", 5, 1), (0, 2, "view", 0, 2), (0, 3, "view", 5, 3), (1, 1, "view", 5, 4), (0, 1, "click", 0, 1), (1, 1, "click", 5, 1), (0, 1, "signup", 5, 1), (1, 1, "signup", 0, 1)]
+    made += [(0, 1, "error", 0, 1), (1, 1, "error", 0, 1), (0, 1, "short", 5, -1), (1, 1, "short", 5, 1)]
+    made += [(h, 1, "purchase", 1 + h % 2, 1) for h in (*range(334), 639)]  # 305 are missing, so the score is 1 - 307 / 640
+    d = events(tmp_path, made)
+    got, want = Q.QUERIES["quality_report"](spark, d).toPandas(), duck(d, Q.ORACLE_SQL["quality_report"])
+    assert rows(got) == rows(want)
+    assert set(got[got.passed].symbol) == {"view", "short"}
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as E
 
